@@ -83,3 +83,17 @@ def class_report(res: DataFrame) -> DataFrame:
                                                   percent(F.col("accuracy")), F.col("correct"),
                                                   F.col("count")).alias("line"),
                     cell(F.col("expected"), 18).alias("row_label"))
+
+
+def ordered_report(res: DataFrame) -> DataFrame:
+    """SORT-05: per-class lines in alphabetical order of the class, with their position.
+
+    The window has no partition key on purpose: its input is one row per class
+    (the class set, checked below), not the data.
+    """
+    from pyspark.sql import Window
+
+    b = by_class(res)
+    if row_count_at_most(b, MAX_LABELS) is None:
+        raise ValueError("too many classes for an ordered report")
+    return b.withColumn("position", F.row_number().over(Window.orderBy("expected")))

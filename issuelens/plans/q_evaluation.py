@@ -174,3 +174,10 @@ def prj_07(spark, sf):
 SELECT key FROM issues_text WHERE coalesce(summary, '') <> '' AND coalesce(issuetype, '') <> ''""")
 def flt_01(spark, sf):
     return ts.usable(ts.testset_rows(fx.issues_text(spark, sf))).select("key")
+
+
+@register("sort_05", RES_SQL + """
+SELECT expected, CAST(count(*) FILTER (WHERE is_correct) AS BIGINT) AS correct, count(*) AS count,
+       CAST(row_number() OVER (ORDER BY expected) AS INTEGER) AS position FROM res GROUP BY expected""")
+def sort_05(spark, sf):
+    return ev.ordered_report(eval_results(spark, sf)).select("expected", "correct", "count", "position")

@@ -329,3 +329,24 @@ SELECT r.r_name AS repo, 'customfield_' || CAST(n.n_nationkey + 10000 AS VARCHAR
 FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def src_09(spark, sf):
     return cg.catalog(spark, sf, "field").select("repo", "id", "name", "custom")
+
+
+def _classes_sql() -> str:
+    from ..constants import ISSUE_TYPES
+    vals = ", ".join("({}, '{}')".format(i + 1, n.replace("'", "''")) for i, (n, _) in enumerate(ISSUE_TYPES))
+    return f"classes AS (SELECT * FROM (VALUES {vals}) AS c(position, name))"
+
+
+@register("src_13", W(ov.TRACKER, ov.CHANGES_ONLY, _classes_sql()) + """
+SELECT u.name AS issuetype, c.position IS NOT NULL AS allowed, c.position FROM (
+  SELECT DISTINCT issuetype AS name FROM tracker
+  UNION SELECT fromString FROM changes WHERE field = 'issuetype' AND fromString IS NOT NULL) u
+LEFT JOIN classes c ON c.name = u.name""")
+def src_13(spark, sf):
+    """Used issue types checked against the allowed class list (and its order)."""
+    t = _t(spark, sf, ("changelog",))
+    used = pf.current_and_past(t, "fields.issuetype.name", "issuetype").select("name").distinct()
+    cls = cg.allowed_classes(spark).select("name", "position")
+    j = used.join(F.broadcast(cls), "name", "left")
+    return j.select(F.col("name").alias("issuetype"), F.col("position").isNotNull().alias("allowed"),
+                    "position")

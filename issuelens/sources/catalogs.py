@@ -129,3 +129,11 @@ def catalog_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     raw = catalog_payloads(spark, sf_dir).where(F.col("kind") == kind).select("repo", "payload")
     return read_catalog(raw, kind)
+
+
+def allowed_classes(spark: SparkSession, classes=None) -> DataFrame:
+    """SRC-13: the fixed list of classes offered to the generator, with its order."""
+    from ..constants import ISSUE_TYPES
+
+    rows = [(i + 1, n, d) for i, (n, d) in enumerate(classes or ISSUE_TYPES)]
+    return spark.createDataFrame(rows, "position int, name string, description string")
