@@ -7,7 +7,7 @@ is loaded once per task and never per row. Vectors are L2-normalised afterwards
 (zero vectors stay zero).
 
 The default ``HashingEncoder`` needs no model files: signed feature hashing of
-lower-cased word tokens with xxhash64.
+lower-cased word tokens with a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -24,25 +24,35 @@ from ..constants import ENCODE_BATCH_SIZE
 
 
 class HashingEncoder:
-    """Signed hashing of ``\\w+`` tokens into ``dim`` buckets (deterministic)."""
+    """Signed hashing of lower-cased ``\\w+`` tokens into ``dim`` buckets.
 
-    def __init__(self, dim: int = 64, seed: int = 0):
+    One vectorised pass per batch: tokens of all texts are hashed together
+    (``pandas.util.hash_array``, 64-bit), then summed into buckets with one
+    ``bincount``. Deterministic across processes (fixed hash key).
+    """
+
+    def __init__(self, dim: int = 64, hash_key: str = "0123456789123456"):
         self.dim = dim
-        self.seed = seed
+        self.hash_key = hash_key
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import regex
-        import xxhash
+        import re
 
-        tok = regex.compile(r"\w+")
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        tok = re.compile(r"\w+")
+        words, owner = [], []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            for w in tok.findall(t.lower()):
-                h = xxhash.xxh64_intdigest(w, seed=self.seed)
-                out[i, h % self.dim] += 1.0 if (h >> 63) == 0 else -1.0
-        return out
+            if t:
+                ws = tok.findall(t.lower())
+                words.extend(ws)
+                owner.extend([i] * len(ws))
+        out = np.zeros(len(texts) * self.dim, dtype=np.float64)
+        if words:
+            h = pd.util.hash_array(np.asarray(words, dtype=object), hash_key=self.hash_key)
+            bucket = (h % np.uint64(self.dim)).astype(np.int64)
+            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+            idx = np.asarray(owner, dtype=np.int64) * self.dim + bucket
+            out += np.bincount(idx, weights=sign, minlength=out.size)
+        return out.reshape(len(texts), self.dim)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -73,7 +83,9 @@ def embed_column(text, encoder=None, batch_size: int = ENCODE_BATCH_SIZE) -> Col
             yield pd.Series(parts, dtype=object)
 
     col = F.col(text) if isinstance(text, str) else text
-    return _embed(col)
+    # non-deterministic for the optimizer: a filter on the vector is then never
+    # pushed below a repartition, so the encoder runs once per row, after it
+    return _embed.asNondeterministic()(col)
 
 
 def embed(df, text_col: str = "text", out_col: str = "embedding", encoder=None,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import extract_issuetype
+from ..plans.inspect import spread
 
 SCORE_SCHEMA = "query_id string, llm_output string, error string"
 
@@ -77,7 +78,7 @@ def score(prompts: DataFrame, generator, system_prompt: str | None = None,
             yield pd.DataFrame({"query_id": pdf["query_id"].astype(str), "llm_output": outs,
                                 "error": errs})
 
-    return prompts.select("query_id", prompt_col).mapInPandas(run, SCORE_SCHEMA)
+    return spread(prompts.select("query_id", prompt_col)).mapInPandas(run, SCORE_SCHEMA)
 
 
 def predict(scored: DataFrame) -> DataFrame:

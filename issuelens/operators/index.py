@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.embedding import embed
+from ..plans.inspect import spread
 from ..sources.issues import flatten_issues, index_text
 
 
 def build_index(issue_docs: DataFrame, encoder=None) -> DataFrame:
     """JOB-01 (batch form): flatten -> text -> unit vector. Rows whose encoder batch
     failed (null vector) are left out, as the reference skips a failed batch."""
-    t = index_text(flatten_issues(issue_docs))
+    t = spread(index_text(flatten_issues(issue_docs)))
     e = embed(t, "text", encoder=encoder)
     return (e.where(F.col("embedding").isNotNull())
              .select(F.col("key").alias("issue_key"), "text", "issuetype", "embedding"))

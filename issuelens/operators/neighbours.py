@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.inspect import row_count_at_most
+from ..plans.inspect import row_count_at_most, spread
 
 PAIR_SCHEMA = "query_id string, key string, similarity double"
 
@@ -108,7 +108,7 @@ def _broadcast_plan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self:
         if acc is not None and len(acc):
             yield acc
 
-    return corpus.select("key", "embedding").mapInPandas(scan, PAIR_SCHEMA)
+    return spread(corpus.select("key", "embedding")).mapInPandas(scan, PAIR_SCHEMA)
 
 
 def _blocked_plan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool,

@@ -90,6 +90,38 @@ def used_link_types(issues: DataFrame) -> DataFrame:
     return count_distinct_by_repo(link_ids(issues), "link_type", "ult")
 
 
+SET_KINDS = ["uit", "up", "distinct_links", "ult"]
+
+
+def _arr(c):
+    """An array column with [] for null (so ``concat`` keeps the other parts)."""
+    return F.coalesce(c, F.array().cast("array<struct<kind:string,name:string>>"))
+
+
+def distinct_sets(issues: DataFrame) -> DataFrame:
+    """AGG-03, -04, -09, -13 (and SET-01/02) in one scan and one distinct aggregate.
+
+    Every issue yields (kind, name) members: its current type and project, the
+    previous types and projects of its change log, its link ids and link types.
+    One explode, one two-phase ``count(distinct)`` keyed by (repo, kind, name),
+    then a pivot of the four counts (one row per source)."""
+    def m(kind, col):
+        return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("name"))
+
+    cur = F.array(m("uit", F.col("fields.issuetype.name")), m("up", F.col("fields.project.name")))
+    hs = F.filter(F.col("changelog.histories"), lambda h: h["items"].isNotNull())
+    items = F.filter(F.flatten(F.transform(hs, lambda h: h["items"])),
+                     lambda i: i["field"].isin("issuetype", "project"))
+    hist = F.transform(items, lambda i: m("", i["fromString"]).withField(
+        "kind", F.when(i["field"] == "issuetype", F.lit("uit")).otherwise(F.lit("up"))))
+    links = F.flatten(F.transform(F.col("fields.issuelinks"), lambda l: F.array(
+        m("distinct_links", l["id"]), m("ult", l["type"]["name"]))))
+    members = F.concat(_arr(cur), _arr(hist), _arr(links))
+    x = issues.select("repo", F.explode(members).alias("x")).select("repo", "x.kind", "x.name")
+    per = x.groupBy("repo", "kind").agg(F.count_distinct("name").alias("n"))
+    return per.groupBy("repo").pivot("kind", SET_KINDS).agg(F.first("n"))
+
+
 def with_epic(issues: DataFrame, repos: DataFrame) -> DataFrame:
     """JOIN-04 + PRJ-08: the epic link value read through the source's own field name."""
     ef = bounded_broadcast(repos.select("repo", "epic_field"))
@@ -144,10 +176,7 @@ def profile(issues: DataFrame, repos: DataFrame, type_catalog: DataFrame | None
             link_catalog: DataFrame | None = None) -> DataFrame:
     """AGG-16 / JOB-05: one row per source in ``repos`` (JOIN-09); a source with no
     rows gets 0 in every count."""
-    size = size_metrics(issues, repos)
-    links = distinct_links(issues)
-    parts = [size, links, used_types(issues), used_link_types(issues),
-             unique_projects(issues), born(issues, repos)]
+    parts = [size_metrics(issues, repos), distinct_sets(issues), born(issues, repos)]
     for cat, name in ((type_catalog, "dit"), (link_catalog, "dlt")):
         c = documented_counts(cat, name)
         parts.append(c if c is not None else repos.select("repo", F.lit(0).cast("long").alias(name)))

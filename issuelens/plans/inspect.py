@@ -33,3 +33,14 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
 
 def executed_plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the
+    cluster has cores (e.g. one small file), so a CPU-heavy Python stage runs in
+    parallel. A large input already has many scan splits and is left as is: no
+    shuffle of the whole input just to feed a UDF."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

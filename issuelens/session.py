@@ -71,3 +71,14 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts lineage (an executor loss recomputes from the files, not from the
+    source joins) and lets every later branch prune columns from the file.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

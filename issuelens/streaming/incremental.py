@@ -30,11 +30,11 @@ def _index_exists(spark: SparkSession, path: str) -> bool:
 def index_batch(batch: DataFrame, index_path: str, encoder=None) -> None:
     """Append the rows of ``batch`` whose key is not in the index yet."""
     spark = batch.sparkSession
-    new = build_index(batch, encoder)
     if _index_exists(spark, index_path):
-        have = spark.read.parquet(index_path).select("issue_key")
-        new = new.join(have, "issue_key", "left_anti")
-    new.write.mode("append").parquet(index_path)
+        # anti join before encoding: rows already indexed are never embedded again
+        have = spark.read.parquet(index_path).select(F.col("issue_key").alias("key"))
+        batch = batch.join(have, "key", "left_anti")
+    build_index(batch, encoder).write.mode("append").parquet(index_path)
 
 
 def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructType | str,
