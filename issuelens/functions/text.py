@@ -73,9 +73,10 @@ def chat_messages(prompt, system_prompt=None) -> Column:
     """SCL-17: optional system message, then the user prompt."""
     sys_c = F.lit(None).cast("string") if system_prompt is None else (
         F.lit(system_prompt) if isinstance(system_prompt, str) else system_prompt)
-    msgs = F.array(F.struct(F.lit("system").alias("role"), sys_c.alias("content")),
-                   F.struct(F.lit("user").alias("role"), _c(prompt).alias("content")))
-    return F.filter(msgs, lambda m: m["content"].isNotNull() & (m["content"] != ""))
+    system = F.struct(F.lit("system").alias("role"), sys_c.alias("content"))
+    user = F.struct(F.lit("user").alias("role"), _c(prompt).alias("content"))
+    # the system message only when given (non-empty); the user message always
+    return F.when(sys_c.isNotNull() & (sys_c != ""), F.array(system, user)).otherwise(F.array(user))
 
 
 def completion_after_prompt(generated, prompt) -> Column:

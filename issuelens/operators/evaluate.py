@@ -73,7 +73,14 @@ def confusion_wide(res: DataFrame) -> DataFrame:
         raise ValueError("too many distinct labels for a wide confusion matrix")
     values = [r["label"] for r in lab.collect()]
     wide = confusion_long(res).groupBy("expected").pivot("predicted", values).agg(F.first("count"))
-    return wide.fillna(0, subset=values)
+    # zeros are filled by position, not by name: labels that differ only by case
+    # ("Task", "task") are distinct classes but ambiguous names for Spark's
+    # case-insensitive resolution
+    names = wide.columns
+    tmp = [f"_c{i}" for i in range(len(names))]
+    w = wide.toDF(*tmp)
+    w = w.select(tmp[0], *[F.coalesce(F.col(t), F.lit(0).cast("long")).alias(t) for t in tmp[1:]])
+    return w.toDF(*names)
 
 
 def class_report(res: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ CSV_OPTIONS = {"header": True, "quoteAll": True, "escape": '"'}
 
 def write_csv(df: DataFrame, path: str, skip_empty: bool = True, mode: str = "overwrite") -> bool:
     """CSV with a header; every field quoted, quotes doubled, so text with commas,
-    quotes and newlines survives. Skipped when empty."""
+    quotes and newlines survives. Skipped when empty. CSV has one spelling for
+    null and '' (both read back as ''); evaluation results contain no nulls."""
     if skip_empty and df.isEmpty():
         return False
     w = df.write.mode(mode)
