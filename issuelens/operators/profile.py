@@ -174,22 +174,10 @@ def documented_counts(catalog: DataFrame | None, out: str) -> DataFrame | None:
 
 def profile(issues: DataFrame, repos: DataFrame, type_catalog: DataFrame | None = None,
             link_catalog: DataFrame | None = None) -> DataFrame:
-    """AGG-16 / JOB-05: one row per source in ``repos`` (JOIN-09); a source with no
-    rows gets 0 in every count."""
-    parts = [size_metrics(issues, repos), distinct_sets(issues), born(issues, repos)]
-    for cat, name in ((type_catalog, "dit"), (link_catalog, "dlt")):
-        c = documented_counts(cat, name)
-        parts.append(c if c is not None else repos.select("repo", F.lit(0).cast("long").alias(name)))
-    out = repos.select("repo")
-    for p in parts:
-        out = out.join(p, "repo", "left")
-    zero = ["issues", "subtasks", "epics", "changes", "comments", "distinct_links", "uit",
-            "ult", "up", "dit", "dlt"]
-    out = out.fillna(0, subset=zero)
-    out = out.withColumn("links", F.col("distinct_links") + F.col("subtasks") + F.col("epics"))
-    out = out.withColumn("changes_per_issue", ratio("changes", "issues"))
-    out = out.withColumn("comments_per_issue", ratio("comments", "issues"))
-    return out.select(*PROFILE_COLUMNS)
+    """AGG-16 / JOB-05 on nested issue documents: one row per source in ``repos``
+    (JOIN-09); a source with no rows gets 0 in every count."""
+    return profile_parts(**normalize(issues, repos), repos=repos, type_catalog=type_catalog,
+                         link_catalog=link_catalog)
 
 
 def profile_summary(prof: DataFrame, columns=SUMMARY_COLUMNS, digits: int = 4) -> DataFrame:
@@ -205,3 +193,92 @@ def profile_summary(prof: DataFrame, columns=SUMMARY_COLUMNS, digits: int = 4) -
         rows.append(F.struct(F.lit(label).alias("stat"),
                              *[F.round(F.col(f"{prefix}__{c}"), digits).alias(c) for c in columns]))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+# ----------------------------------------------------------------------------
+# Normalized form: the same profile from flat child tables. Nested documents are
+# normalized by explodes only (no grouping); flat sources (landed child tables)
+# feed it directly. Every metric is then a per-source partial aggregate or a
+# two-phase distinct count, so no per-issue or per-source collect exists.
+
+def normalize(issues: DataFrame, repos: DataFrame) -> dict:
+    """Nested issues -> the inputs of ``profile_parts``."""
+    e = with_epic(issues, repos)
+    flat = e.select("repo", "key", F.col("fields.created").alias("created"),
+                    F.col("fields.issuetype.name").alias("issuetype"),
+                    F.col("fields.project.name").alias("project"), "epic")
+    n_items = F.aggregate(F.col("changelog.histories"), F.lit(0).cast("long"),
+                          lambda acc, h: acc + size0(h["items"]))
+    counts = issues.select("repo", size0("fields.subtasks").cast("long").alias("subtasks"),
+                           F.coalesce(n_items, F.lit(0).cast("long")).alias("changes"),
+                           size0("fields.comments").cast("long").alias("comments"))
+    changes = change_items(issues, keep=("repo",)).where(
+        F.col("field").isin("issuetype", "project")).select("repo", "field", "fromString")
+    return {"issues": flat, "links": link_ids(issues), "changes": changes, "counts": counts}
+
+
+def profile_parts(issues: DataFrame, links: DataFrame, changes: DataFrame, counts: DataFrame,
+                  repos: DataFrame, type_catalog: DataFrame | None = None,
+                  link_catalog: DataFrame | None = None) -> DataFrame:
+    """AGG-16 over flat inputs.
+
+    issues:  repo, key, created, issuetype, project, epic
+    links:   repo, link_id, link_type          (one row per link on an issue)
+    changes: repo, field, fromString           (change items of issuetype / project)
+    counts:  repo, subtasks, changes, comments (partial counts at any grain)
+    """
+    base = issues.groupBy("repo").agg(F.count("*").alias("issues"),
+                                      F.count_if(F.col("epic").isNotNull()).alias("epics"))
+    sums = counts.groupBy("repo").agg(*[F.sum(c).cast("long").alias(c)
+                                        for c in ("subtasks", "changes", "comments")])
+
+    def m(kind, col):
+        return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("name"))
+
+    cur = issues.select("repo", F.explode(F.array(m("uit", F.col("issuetype")),
+                                                   m("up", F.col("project")))).alias("x"))
+    hist = changes.select("repo", F.struct(
+        F.when(F.col("field") == "issuetype", F.lit("uit")).otherwise(F.lit("up")).alias("kind"),
+        F.col("fromString").alias("name")).alias("x"))
+    lk = links.select("repo", F.explode(F.array(m("distinct_links", F.col("link_id")),
+                                                 m("ult", F.col("link_type")))).alias("x"))
+    members = cur.unionByName(hist).unionByName(lk).select("repo", "x.kind", "x.name")
+    per = members.groupBy("repo", "kind").agg(F.count_distinct("name").alias("n"))
+    sets = per.groupBy("repo").pivot("kind", SET_KINDS).agg(F.first("n"))
+
+    w = Window.partitionBy("repo").orderBy(F.col("created").asc(), F.col("key").asc())
+    first = (issues.select("repo", "key", "created").withColumn("rn", F.row_number().over(w))
+             .where(F.col("rn") <= BORN_WINDOW))
+    skip = bounded_broadcast(repos.select("repo", "born_skip"))
+    bn = first.join(skip, "repo", "left").where(
+        F.col("rn") == F.coalesce(F.col("born_skip"), F.lit(0)) + 1).select(
+        "repo", F.substring("created", 1, 4).alias("born"))
+    return _assemble(repos, [base, sums, sets, bn], type_catalog, link_catalog)
+
+
+def _assemble(repos, parts, type_catalog, link_catalog):
+    for cat, name in ((type_catalog, "dit"), (link_catalog, "dlt")):
+        c = documented_counts(cat, name)
+        parts.append(c if c is not None else repos.select("repo", F.lit(0).cast("long").alias(name)))
+    out = repos.select("repo")
+    for p in parts:
+        out = out.join(p, "repo", "left")
+    zero = ["issues", "subtasks", "epics", "changes", "comments", "distinct_links", "uit",
+            "ult", "up", "dit", "dlt"]
+    out = out.fillna(0, subset=zero)
+    out = out.withColumn("links", F.col("distinct_links") + F.col("subtasks") + F.col("epics"))
+    out = out.withColumn("changes_per_issue", ratio("changes", "issues"))
+    out = out.withColumn("comments_per_issue", ratio("comments", "issues"))
+    return out.select(*PROFILE_COLUMNS)
+
+
+def profile_tables(tables: dict, repos: DataFrame, type_catalog: DataFrame | None = None,
+                   link_catalog: DataFrame | None = None) -> DataFrame:
+    """AGG-16 from child tables whose ``issues`` still carry the nested ``fields``
+    (for the epic lookup through the source's own custom field)."""
+    e = with_epic(tables["issues"], repos)
+    flat = e.select("repo", "key", F.col("fields.created").alias("created"),
+                    F.col("fields.issuetype.name").alias("issuetype"),
+                    F.col("fields.project.name").alias("project"), "epic")
+    return profile_parts(flat, tables["links"], tables["changes"], tables["counts"], repos,
+                         type_catalog, link_catalog)

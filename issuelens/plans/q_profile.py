@@ -66,10 +66,11 @@ def _repos(spark, sf):
 
 
 def _full_profile(spark, sf, catalogs=True):
-    t = _t(spark, sf)
+    """Profile from the tracker's child tables (normalized path: explodes, joins on
+    the issue key and per-source partial aggregates; no per-issue collect)."""
     tc = cg.catalog(spark, sf, "issuetype") if catalogs else None
     lc = cg.catalog(spark, sf, "linktype") if catalogs else None
-    return pf.profile(t, _repos(spark, sf), tc, lc)
+    return pf.profile_tables(fx.tracker_tables(spark, sf), _repos(spark, sf), tc, lc)
 
 
 _PROFILE_COLS = ", ".join(pf.PROFILE_COLUMNS)
