@@ -45,8 +45,8 @@ def check_index(index: DataFrame) -> DataFrame:
         F.count("*").alias("rows"),
         F.count_distinct("issue_key").alias("keys"),
         F.count_if(F.col("embedding").isNull()).alias("null_vectors"),
-        F.min(F.size("embedding")).alias("min_dim"),
-        F.max(F.size("embedding")).alias("max_dim"),
+        F.min(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("min_dim"),
+        F.max(F.when(F.col("embedding").isNotNull(), F.size("embedding"))).alias("max_dim"),
     )
     return s.withColumn("consistent", (F.col("rows") > 0) & (F.col("rows") == F.col("keys"))
                         & (F.col("null_vectors") == 0) & (F.col("min_dim") == F.col("max_dim")))

@@ -10,6 +10,7 @@ from ..functions.embedding import HashingEncoder
 from ..functions.vectors import l2_norm
 from ..operators import comments as cm
 from ..operators import index as ix
+from ..operators.profile import size0
 from ..session import scratch_path
 from ..sources import catalogs as cg
 from ..sources import fixtures as fx
@@ -51,7 +52,7 @@ def src_04(spark, sf):
     return j.select("repo", "key", F.col("fields.created").alias("created"),
                     F.col("fields.issuetype.name").alias("issuetype"),
                     F.col("fields.project.name").alias("project"),
-                    F.coalesce(F.size("fields.issuelinks"), F.lit(0)).alias("n_links"),
+                    size0("fields.issuelinks").alias("n_links"),
                     F.try_element_at("fields.custom_fields", F.col("epic_field")).alias("epic"))
 
 
@@ -132,7 +133,7 @@ def job_07(spark, sf):
     return landed.groupBy("repo").agg(
         F.count("*").alias("issues"),
         F.count_if(F.col("fields.comments").isNotNull()).alias("with_comments"),
-        F.sum(F.coalesce(F.size("fields.comments"), F.lit(0))).cast("long").alias("comments"))
+        F.sum(size0("fields.comments")).cast("long").alias("comments"))
 
 
 # ------------------------------------------------------------------ comments
