@@ -217,43 +217,63 @@ def normalize(issues: DataFrame, repos: DataFrame) -> dict:
     return {"issues": flat, "links": link_ids(issues), "changes": changes, "counts": counts}
 
 
-def profile_parts(issues: DataFrame, links: DataFrame, changes: DataFrame, counts: DataFrame,
-                  repos: DataFrame, type_catalog: DataFrame | None = None,
-                  link_catalog: DataFrame | None = None) -> DataFrame:
-    """AGG-16 over flat inputs.
+def _member(kind, col):
+    return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("name"))
 
-    issues:  repo, key, created, issuetype, project, epic
-    links:   repo, link_id, link_type          (one row per link on an issue)
-    changes: repo, field, fromString           (change items of issuetype / project)
-    counts:  repo, subtasks, changes, comments (partial counts at any grain)
-    """
+
+def flat_members(issues: DataFrame, links: DataFrame, changes: DataFrame) -> DataFrame:
+    """SET-01 / SET-02 (and link sets) over flat inputs: (repo, kind, name), nulls kept
+    out later by ``count(distinct)``."""
+    cur = issues.select("repo", F.explode(F.array(_member("uit", F.col("issuetype")),
+                                                   _member("up", F.col("project")))).alias("x"))
+    hist = changes.select("repo", F.struct(
+        F.when(F.col("field") == "issuetype", F.lit("uit")).otherwise(F.lit("up")).alias("kind"),
+        F.col("fromString").alias("name")).alias("x"))
+    lk = links.select("repo", F.explode(F.array(_member("distinct_links", F.col("link_id")),
+                                                 _member("ult", F.col("link_type")))).alias("x"))
+    return cur.unionByName(hist).unionByName(lk).select("repo", "x.kind", "x.name")
+
+
+def flat_sets(issues: DataFrame, links: DataFrame, changes: DataFrame) -> DataFrame:
+    """AGG-03, -04, -09, -13: one two-phase distinct count keyed by (repo, kind, name)."""
+    per = flat_members(issues, links, changes).groupBy("repo", "kind").agg(
+        F.count_distinct("name").alias("n"))
+    return per.groupBy("repo").pivot("kind", SET_KINDS).agg(F.first("n"))
+
+
+def flat_counts(issues: DataFrame, counts: DataFrame) -> DataFrame:
+    """AGG-01, -05, -06, -11, -14: per-source partial aggregates."""
     base = issues.groupBy("repo").agg(F.count("*").alias("issues"),
                                       F.count_if(F.col("epic").isNotNull()).alias("epics"))
     sums = counts.groupBy("repo").agg(*[F.sum(c).cast("long").alias(c)
                                         for c in ("subtasks", "changes", "comments")])
+    return base.join(sums, "repo", "full_outer")
 
-    def m(kind, col):
-        return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("name"))
-
-    cur = issues.select("repo", F.explode(F.array(m("uit", F.col("issuetype")),
-                                                   m("up", F.col("project")))).alias("x"))
-    hist = changes.select("repo", F.struct(
-        F.when(F.col("field") == "issuetype", F.lit("uit")).otherwise(F.lit("up")).alias("kind"),
-        F.col("fromString").alias("name")).alias("x"))
-    lk = links.select("repo", F.explode(F.array(m("distinct_links", F.col("link_id")),
-                                                 m("ult", F.col("link_type")))).alias("x"))
-    members = cur.unionByName(hist).unionByName(lk).select("repo", "x.kind", "x.name")
-    per = members.groupBy("repo", "kind").agg(F.count_distinct("name").alias("n"))
-    sets = per.groupBy("repo").pivot("kind", SET_KINDS).agg(F.first("n"))
 
+def flat_born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
+    """AGG-10 over flat issues (created, key): top-n window, then the skip."""
     w = Window.partitionBy("repo").orderBy(F.col("created").asc(), F.col("key").asc())
     first = (issues.select("repo", "key", "created").withColumn("rn", F.row_number().over(w))
-             .where(F.col("rn") <= BORN_WINDOW))
+             .where(F.col("rn") <= n))
     skip = bounded_broadcast(repos.select("repo", "born_skip"))
-    bn = first.join(skip, "repo", "left").where(
+    return first.join(skip, "repo", "left").where(
         F.col("rn") == F.coalesce(F.col("born_skip"), F.lit(0)) + 1).select(
-        "repo", F.substring("created", 1, 4).alias("born"))
-    return _assemble(repos, [base, sums, sets, bn], type_catalog, link_catalog)
+        "repo", F.substring("created", 1, 4).alias("born"), F.col("created").alias("born_created"))
+
+
+def profile_parts(issues: DataFrame, links: DataFrame, changes: DataFrame, counts: DataFrame,
+                  repos: DataFrame, type_catalog: DataFrame | None = None,
+                  link_catalog: DataFrame | None = None) -> DataFrame:
+    """AGG-16 over flat inputs.
+
+    issues:  repo, key, created, issuetype, project, epic
+    links:   repo, link_id, link_type          (one row per link on an issue)
+    changes: repo, field, fromString           (change items of issuetype / project)
+    counts:  repo, subtasks, changes, comments (partial counts at any grain)
+    """
+    parts = [flat_counts(issues, counts), flat_sets(issues, links, changes),
+             flat_born(issues, repos).drop("born_created")]
+    return _assemble(repos, parts, type_catalog, link_catalog)
 
 
 def _assemble(repos, parts, type_catalog, link_catalog):
@@ -272,13 +292,17 @@ def _assemble(repos, parts, type_catalog, link_catalog):
     return out.select(*PROFILE_COLUMNS)
 
 
+def flat_issues(tables: dict, repos: DataFrame) -> DataFrame:
+    """Issue rows of the child tables with the epic value resolved (JOIN-04, PRJ-08)."""
+    e = with_epic(tables["issues"], repos)
+    return e.select("repo", "key", F.col("fields.created").alias("created"),
+                    F.col("fields.issuetype.name").alias("issuetype"),
+                    F.col("fields.project.name").alias("project"), "epic")
+
+
 def profile_tables(tables: dict, repos: DataFrame, type_catalog: DataFrame | None = None,
                    link_catalog: DataFrame | None = None) -> DataFrame:
     """AGG-16 from child tables whose ``issues`` still carry the nested ``fields``
     (for the epic lookup through the source's own custom field)."""
-    e = with_epic(tables["issues"], repos)
-    flat = e.select("repo", "key", F.col("fields.created").alias("created"),
-                    F.col("fields.issuetype.name").alias("issuetype"),
-                    F.col("fields.project.name").alias("project"), "epic")
-    return profile_parts(flat, tables["links"], tables["changes"], tables["counts"], repos,
-                         type_catalog, link_catalog)
+    return profile_parts(flat_issues(tables, repos), tables["links"], tables["changes"],
+                         tables["counts"], repos, type_catalog, link_catalog)

@@ -115,15 +115,40 @@ def _metric(name, cols, parts, fn):
     return q
 
 
-_metric("agg_01", ["issues"], (), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
+def _tables(spark, sf):
+    return fx.tracker_tables(spark, sf)
+
+
+def _flat(name, cols, fn):
+    """A profile metric from the child tables (normalized path)."""
+    sql = PROFILE_BASE + f"\nSELECT repo, {', '.join(cols)} FROM prof"
+
+    @register(name, sql)
+    def q(spark, sf):
+        t = _tables(spark, sf)
+        r = _repos(spark, sf)
+        return fn(t, r, pf.flat_issues(t, r)).select("repo", *cols)
+    return q
+
+
+def _counts(t, r, i):
+    return pf.flat_counts(i, t["counts"])
+
+
+def _sets(t, r, i):
+    return pf.flat_sets(i, t["links"], t["changes"])
+
+
+_flat("agg_01", ["issues"], _counts)
+_flat("agg_06", ["epics"], _counts)
+_flat("agg_11", ["changes"], _counts)
+_flat("agg_14", ["comments"], _counts)
+_flat("agg_03", ["uit"], _sets)
+_flat("agg_13", ["up"], _sets)
+_flat("agg_09", ["ult"], _sets)
+# nested-document forms of the same metrics (links and sub-task arrays per issue)
 _metric("agg_05", ["subtasks"], ("links",), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
-_metric("agg_06", ["epics"], (), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
-_metric("agg_11", ["changes"], ("changelog",), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
-_metric("agg_14", ["comments"], ("comments",), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
-_metric("agg_03", ["uit"], ("changelog",), lambda s, sf, t: pf.used_types(t))
-_metric("agg_13", ["up"], ("changelog",), lambda s, sf, t: pf.unique_projects(t))
 _metric("agg_04", ["distinct_links"], ("links",), lambda s, sf, t: pf.distinct_links(t))
-_metric("agg_09", ["ult"], ("links",), lambda s, sf, t: pf.used_link_types(t))
 _metric("agg_10", ["born", "born_created"], (), lambda s, sf, t: pf.born(t, _repos(s, sf)))
 
 
@@ -134,8 +159,8 @@ def agg_07(spark, sf):
 
 @register("agg_12", PROFILE_BASE + "\nSELECT repo, changes_per_issue FROM prof")
 def agg_12(spark, sf):
-    t = _t(spark, sf, ("changelog",))
-    m = pf.size_metrics(t, _repos(spark, sf))
+    t, r = _tables(spark, sf), _repos(spark, sf)
+    m = pf.flat_counts(pf.flat_issues(t, r), t["counts"])
     return m.select("repo", pf.ratio("changes", "issues").alias("changes_per_issue"))
 
 
@@ -163,7 +188,9 @@ SELECT DISTINCT repo, name FROM (
   SELECT repo, issuetype AS name FROM tracker
   UNION ALL SELECT repo, fromString FROM changes WHERE field = 'issuetype') WHERE name IS NOT NULL""")
 def set_01(spark, sf):
-    return pf.current_and_past(_t(spark, sf, ("changelog",)), "fields.issuetype.name", "issuetype")
+    t, r = _tables(spark, sf), _repos(spark, sf)
+    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    return m.where((F.col("kind") == "uit") & F.col("name").isNotNull()).select("repo", "name").distinct()
 
 
 @register("set_02", W(ov.CHANGES) + """
@@ -171,7 +198,9 @@ SELECT DISTINCT repo, name FROM (
   SELECT repo, project AS name FROM tracker
   UNION ALL SELECT repo, fromString FROM changes WHERE field = 'project') WHERE name IS NOT NULL""")
 def set_02(spark, sf):
-    return pf.current_and_past(_t(spark, sf, ("changelog",)), "fields.project.name", "project")
+    t, r = _tables(spark, sf), _repos(spark, sf)
+    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    return m.where((F.col("kind") == "up") & F.col("name").isNotNull()).select("repo", "name").distinct()
 
 
 @register("join_04", W(ov.TRACKER, ov.REPOS) + """
@@ -345,8 +374,9 @@ SELECT u.name AS issuetype, c.position IS NOT NULL AS allowed, c.position FROM (
 LEFT JOIN classes c ON c.name = u.name""")
 def src_13(spark, sf):
     """Used issue types checked against the allowed class list (and its order)."""
-    t = _t(spark, sf, ("changelog",))
-    used = pf.current_and_past(t, "fields.issuetype.name", "issuetype").select("name").distinct()
+    t, r = _tables(spark, sf), _repos(spark, sf)
+    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    used = m.where((F.col("kind") == "uit") & F.col("name").isNotNull()).select("name").distinct()
     cls = cg.allowed_classes(spark).select("name", "position")
     j = used.join(F.broadcast(cls), "name", "left")
     return j.select(F.col("name").alias("issuetype"), F.col("position").isNotNull().alias("allowed"),
