@@ -21,6 +21,7 @@ from ..sources.tables import table
 from . import oracle_views as ov
 from .q_evaluation import eval_results
 from .q_text import vector_prompts
+from .inspect import bounded_broadcast
 from .registry import register
 
 W = ov.with_
@@ -48,7 +49,7 @@ FROM tracker t LEFT JOIN (SELECT key, count(*) AS n FROM links GROUP BY key) l O
 def src_04(spark, sf):
     i = landed_issues(spark, sf)
     r = fx.repos(spark, sf).select("repo", "epic_field")
-    j = i.join(F.broadcast(r), "repo", "left")
+    j = i.join(bounded_broadcast(r), "repo", "left")
     return j.select("repo", "key", F.col("fields.created").alias("created"),
                     F.col("fields.issuetype.name").alias("issuetype"),
                     F.col("fields.project.name").alias("project"),

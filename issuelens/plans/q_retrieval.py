@@ -9,6 +9,7 @@ from ..functions.embedding import HashingEncoder
 from ..functions.vectors import inner_product, l2_norm, normalize
 from ..operators import index as ix
 from ..operators import neighbours as nb
+from .inspect import bounded_broadcast
 from ..sources import fixtures as fx
 from ..sources.issues import flatten_issues, index_text, query_text
 from . import oracle_views as ov
@@ -118,7 +119,7 @@ def scl_10(spark, sf):
     m = e.groupBy("issuetype", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     c = m.groupBy("issuetype").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m"))
-    j = v.join(F.broadcast(c), "issuetype")   # one row per class: bounded by the label set
+    j = v.join(bounded_broadcast(c), "issuetype")   # one row per class, size-checked
     return j.select("key", F.round(inner_product("embedding", "m"), 4).alias("to_centroid"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.inspect import bounded_broadcast
+from ..session import materialize
 from ..schemas import ISSUE
 from .tables import table
 
@@ -207,10 +208,12 @@ def tracker_tables(spark: SparkSession, sf_dir: str) -> dict:
     links (repo, link_id, link_type), changes (repo, field, fromString),
     counts (repo, subtasks, changes, comments) at one row per child row.
     """
-    docs = tracker(spark, sf_dir, ())
-    issues = docs.select("repo", "key", "fields")
-    owner = tracker_base(spark, sf_dir).select(F.col("o_orderkey").alias("_k"),
-                                               F.col("r_name").alias("repo"))
+    # the issue rows (a 4-way join) are landed once in the shared folder; every
+    # child table joins that table instead of recomputing the join
+    docs = tracker(spark, sf_dir, ()).withColumn("_k", F.col("key").cast("long"))
+    landed = materialize(docs.select("repo", "key", "_k", "fields"), "tracker-issues")
+    issues = landed.select("repo", "key", "fields")
+    owner = landed.select("_k", "repo")
     li = table(spark, sf_dir, "lineitem").join(owner, F.col("l_orderkey") == F.col("_k"))
     links = li.select("repo", F.col("l_partkey").cast("string").alias("link_id"),
                       F.col("l_returnflag").alias("link_type"))
