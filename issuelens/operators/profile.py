@@ -143,11 +143,30 @@ def size_metrics(issues: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
+# First-level buckets of the two-level top-n (see ``first_n``).
+TOP_N_BUCKETS = 512
+
+
+def first_n(rows: DataFrame, n: int, buckets: int = TOP_N_BUCKETS) -> DataFrame:
+    """The first ``n`` rows of every source by (created, key), with ``rn``.
+
+    Two levels, so no task sorts more than a bounded number of rows however large
+    a source is: each map task keeps n rows per (source, bucket) where the bucket
+    is its partition id modulo ``buckets`` (``WindowGroupLimit`` before the
+    shuffle), each (source, bucket) group keeps n, and the final per-source window
+    sees at most ``buckets * n`` rows.
+    """
+    order = [F.col("created").asc(), F.col("key").asc()]
+    b = rows.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(buckets)))
+    lvl1 = (b.withColumn("_r", F.row_number().over(Window.partitionBy("repo", "_b").orderBy(*order)))
+            .where(F.col("_r") <= n).drop("_r", "_b"))
+    return (lvl1.withColumn("rn", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+            .where(F.col("rn") <= n))
+
+
 def earliest(issues: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
     """SORT-02: the first ``n`` issues of every source by (created, key)."""
-    w = Window.partitionBy("repo").orderBy(F.col("created").asc(), F.col("key").asc())
-    return (issues.select("repo", "key", F.col("fields.created").alias("created"))
-            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n))
+    return first_n(issues.select("repo", "key", F.col("fields.created").alias("created")), n)
 
 
 def born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
@@ -252,9 +271,7 @@ def flat_counts(issues: DataFrame, counts: DataFrame) -> DataFrame:
 
 def flat_born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
     """AGG-10 over flat issues (created, key): top-n window, then the skip."""
-    w = Window.partitionBy("repo").orderBy(F.col("created").asc(), F.col("key").asc())
-    first = (issues.select("repo", "key", "created").withColumn("rn", F.row_number().over(w))
-             .where(F.col("rn") <= n))
+    first = first_n(issues.select("repo", "key", "created"), n)
     skip = bounded_broadcast(repos.select("repo", "born_skip"))
     return first.join(skip, "repo", "left").where(
         F.col("rn") == F.coalesce(F.col("born_skip"), F.lit(0)) + 1).select(
