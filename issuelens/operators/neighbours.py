@@ -30,8 +30,10 @@ from ..plans.inspect import row_count_at_most, spread
 
 PAIR_SCHEMA = "query_id string, key string, similarity double"
 
-# Queries broadcast as one matrix at most (rows); above it the blocked plan runs.
+# Queries broadcast as one matrix at most (rows, and bytes of the float64 matrix);
+# above either bound the blocked plan runs.
 MAX_BROADCAST_QUERIES = 50_000
+MAX_BROADCAST_BYTES = 256 << 20
 # Rows per block in the blocked plan (each side).
 BLOCK_ROWS = 20_000
 # Entries of one similarity tile held in memory (float64): 2^24 = 128 MiB.
@@ -165,7 +167,10 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: boo
         raise ValueError(f"unknown plan {plan!r}")
     n_q = None
     if plan in ("auto", "broadcast"):
-        n_q = row_count_at_most(queries, max_broadcast_queries)
+        first = queries.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+        dim = first[0] if first else 1
+        bound = max(1, min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(dim, 1))))
+        n_q = row_count_at_most(queries, bound)
         if n_q is None and plan == "broadcast":
             raise ValueError("query set exceeds the broadcast bound")
     if n_q is not None:
