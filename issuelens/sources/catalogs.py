@@ -79,7 +79,7 @@ def read_linktype_map(raw: DataFrame) -> DataFrame:
 
 def read_json_text(spark: SparkSession, path: str) -> DataFrame:
     """A whole JSON file as one ``payload`` row (definition files are small, fixed maps)."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "payload")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
 def with_theme(issues: DataFrame, themes: DataFrame) -> DataFrame:

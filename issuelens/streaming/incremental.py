@@ -40,7 +40,7 @@ def index_batch(batch: DataFrame, index_path: str, encoder=None) -> None:
 def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructType | str,
                         index_path: str, checkpoint: str, encoder=None, fmt: str = "parquet",
                         max_files_per_trigger: int | None = None, path_glob: str | None = None,
-                        prepare=None):
+                        prepare=None, max_bytes_per_trigger: str | None = None):
     """Start the available-now stream; returns the StreamingQuery.
 
     ``prepare`` maps the raw stream to issue documents (repo, _id, key, fields);
@@ -49,6 +49,8 @@ def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructT
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if max_bytes_per_trigger:   # STR-02 by volume, for sources that support it
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     stream = r.load(source_path)

@@ -84,3 +84,26 @@ def test_plan_pages(spark):
     assert rows[2]["url"].endswith("startAt=500&maxResults=1&expand=changelog")
     lim = ld.plan_pages(s, limit=300, start=100).collect()
     assert sorted((r["start_at"], r["max_results"]) for r in lim) == [(100, 200)]
+
+
+def test_read_page_files(spark, tmp_path):
+    for repo, n in (("A", 2), ("B", 1)):
+        d = tmp_path / f"repo={repo}"
+        d.mkdir()
+        for i in range(n):
+            page = {"total": n, "startAt": i, "issues": [{"id": f"{repo}{i}", "key": f"{repo}-{i}",
+                                                           "fields": {"summary": "x\ny"}}]}
+            (d / f"page{i}.json").write_text(json.dumps(page, indent=2))
+    issues, rejects = ld.pages_to_issues(ld.read_page_files(spark, str(tmp_path)))
+    got = sorted((r["repo"], r["key"], r["fields"]["summary"]) for r in issues.collect())
+    assert got == [("A", "A-0", "x\ny"), ("A", "A-1", "x\ny"), ("B", "B-0", "x\ny")]
+    assert rejects.count() == 0
+
+
+def test_definition_file_on_disk(spark, tmp_path):
+    defs = {"Apache": {"company_url": "c", "jira_url": "j", "name": "Apache", "rough_issue_count": "1,015,000"},
+            "Spring": {"company_url": "c2", "jira_url": "j2", "name": "Spring", "rough_issue_count": "69,000"}}
+    f = tmp_path / "sources.json"
+    f.write_text(json.dumps(defs, indent=2))
+    rows = cg.read_sources(cg.read_json_text(spark, str(f))).collect()
+    assert sorted((r["source"], r["rough_issue_count"]) for r in rows) == [("Apache", "1,015,000"), ("Spring", "69,000")]
