@@ -26,6 +26,8 @@ EDGE = [
     "Issuetype: Bug\nIssuetype: Task", "ISSUETYPE:  Improvement -:.", "x: Issuetype: Bug",
     "Issuetype: Bug ", "Issuetype: New Feature rest", "Reasoning\u0085Issuetype: Epic",
     "Issuetype: :", "Issuetype: -", "Issuetype: Sub-task", "Issuetype: a\x1cb",
+    "Issuetype:\xa0Bug\xa0", "\u2003Issuetype:\u2003Story\u3000.", "Issuetype: Bug\u2028Issuetype: Task",
+    "\n\n", "Issuetype", "issuetype:\nIssuetype: issuetype.\nIssuetype: **Bug**",
 ]
 
 ALPHABET = st.sampled_from(list("abI ssuetypeTYPE:.-*\n\r\t  \u0085\x0b\x0cxyz") + [
