@@ -2,8 +2,6 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from issuelens.functions.text import extract_issuetype
 
 
