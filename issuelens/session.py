@@ -52,12 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (local runs, tests) a private
     folder is created and registered, so lineage cuts and sink round trips work.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="issuelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
