@@ -91,3 +91,14 @@ def pf_schema():
 def test_born_uses_window_group_limit(issues, repos):
     plan = plan_text(pf.born(issues, repos))
     assert "WindowGroupLimit" in plan
+
+
+def test_two_level_top_n_equals_single_window(spark):
+    from pyspark.sql import Window
+    rows = [(f"r{i % 3}", f"k{i:04d}", f"2000-01-{(i * 7) % 28 + 1:02d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "repo string, key string, created string").repartition(7)
+    got = {(r["repo"], r["rn"], r["key"]) for r in pf.first_n(df, 25, buckets=3).collect()}
+    w = Window.partitionBy("repo").orderBy("created", "key")
+    want = {(r["repo"], r["rn"], r["key"]) for r in
+            df.withColumn("rn", F.row_number().over(w)).where("rn <= 25").collect()}
+    assert got == want
