@@ -31,13 +31,34 @@ def duck(sf_dir: str):
     return con
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "FLOAT": "float", "SMALLINT": "smallint",
+                  "TINYINT": "tinyint", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+
+
+def type_differences(spark_df, con, sql: str) -> list[str]:
+    """Columns whose Spark type differs from the oracle's (DuckDB type names mapped)."""
+    rel = con.sql(sql)
+    duck = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in spark_df.schema.fields:
+        d = duck.get(f.name)
+        if d is None:
+            continue
+        want = _DUCK_TO_SPARK.get(d, d.lower())
+        if want != f.dataType.simpleString():
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} oracle {d}")
+    return out
+
+
 def compare(spark_df, con, sql: str) -> list[str]:
     """Differences between a Spark frame and the oracle's result (empty when equal)."""
+    types = type_differences(spark_df, con, sql)
     srows, scols = spark_df.collect(), spark_df.columns
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
-    msgs = []
+    msgs = [f"types {'; '.join(types)}"] if types else []
     if sorted(scols) != sorted(dcols):
         msgs.append(f"columns spark={scols} oracle={dcols}")
     if len(srows) != len(drows):

@@ -223,7 +223,7 @@ def _two_step_index(spark, sf):
 
 
 _ALL_INDEX_SQL = W(ov.ISSUES_TEXT) + """
-SELECT key AS issue_key, issuetype, 64 AS dim, 1.0 AS norm FROM issues_text"""
+SELECT key AS issue_key, issuetype, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text"""
 
 
 @register("snk_05", _ALL_INDEX_SQL)

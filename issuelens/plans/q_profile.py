@@ -100,7 +100,7 @@ def agg_17(spark, sf):
 
 
 @register("join_09", PROFILE_BASE + """
-SELECT repo, issues, links, changes, comments, 0 AS dit, 0 AS dlt FROM prof""")
+SELECT repo, issues, links, changes, comments, CAST(0 AS BIGINT) AS dit, CAST(0 AS BIGINT) AS dlt FROM prof""")
 def join_09(spark, sf):
     """Assembly with no catalogs: documented counts default to 0 for every source."""
     p = _full_profile(spark, sf, catalogs=False)

@@ -97,7 +97,7 @@ def flt_08(spark, sf):
 
 @register("scl_09", ov.with_(ov.VECTORS) + """
 SELECT key, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm_in,
-       CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 THEN 1.0 ELSE 0.0 END AS norm_out
+       CAST(CASE WHEN list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm_out
 FROM vectors""")
 def scl_09(spark, sf):
     v = fx.vectors(spark, sf)
@@ -160,7 +160,7 @@ def prj_04(spark, sf):
 
 
 _INDEX_SQL = ov.with_(ov.ISSUES_TEXT) + """
-SELECT key AS issue_key, coalesce(issuetype, '') AS issuetype, 64 AS dim, 1.0 AS norm FROM issues_text"""
+SELECT key AS issue_key, coalesce(issuetype, '') AS issuetype, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text"""
 
 
 @register("job_01", _INDEX_SQL)
@@ -171,7 +171,7 @@ def job_01(spark, sf):
 
 
 @register("udf_01", ov.with_(ov.ISSUES_TEXT) + """
-SELECT key, 64 AS dim, 1.0 AS norm FROM issues_text""")
+SELECT key, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text""")
 def udf_01(spark, sf):
     from ..functions.embedding import embed
     t = index_text(flatten_issues(fx.issues_doc(spark, sf)))
