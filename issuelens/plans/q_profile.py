@@ -272,9 +272,10 @@ SELECT repo, issues, uit, links, changes, comments FROM prof
 WHERE repo IN ({', '.join(repr(s) for s in FLT10_SOURCES)})""")
 def flt_10(spark, sf):
     """Profile of chosen sources only (the reference's ``jiras=[...]`` argument)."""
-    t = _t(spark, sf).where(F.col("repo").isin(FLT10_SOURCES))
-    r = _repos(spark, sf).where(F.col("repo").isin(FLT10_SOURCES))
-    p = pf.profile(t, r)
+    chosen = F.col("repo").isin(FLT10_SOURCES)
+    t = {k: v.where(chosen) for k, v in _tables(spark, sf).items()}
+    r = _repos(spark, sf).where(chosen)
+    p = pf.profile_tables(t, r)
     return p.select("repo", "issues", "uit", "links", "changes", "comments")
 
 
