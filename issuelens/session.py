@@ -72,12 +72,17 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", partition_by: str | None = None):
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts lineage (an executor loss recomputes from the files, not from the
-    source joins) and lets every later branch prune columns from the file.
+    source joins) and lets every later branch prune columns from the file; with
+    ``partition_by`` a filter on that column prunes whole folders. No shuffle:
+    each task writes the partitions it holds.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    w = df.write
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -211,7 +211,8 @@ def tracker_tables(spark: SparkSession, sf_dir: str) -> dict:
     # the issue rows (a 4-way join) are landed once in the shared folder; every
     # child table joins that table instead of recomputing the join
     docs = tracker(spark, sf_dir, ()).withColumn("_k", F.col("key").cast("long"))
-    landed = materialize(docs.select("repo", "key", "_k", "fields"), "tracker-issues")
+    landed = materialize(docs.select("repo", "key", "_k", "fields"), "tracker-issues",
+                         partition_by="repo")
     issues = landed.select("repo", "key", "fields")
     owner = landed.select("_k", "repo")
     li = table(spark, sf_dir, "lineitem").join(owner, F.col("l_orderkey") == F.col("_k"))
