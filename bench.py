@@ -39,7 +39,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus),
                       extra={"spark.driver.memory": "16g"})
     qs = registry.queries()
     # warm the JVM and the Arrow Python workers once (not part of any query)
