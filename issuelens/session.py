@@ -17,8 +17,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches for the numpy block products and the generator.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # Arrow batches feeding the encoder, the generator and the block products:
+    # rows can be whole documents or prompts with three documents, so batches are
+    # kept small enough to stay far below a Python worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
