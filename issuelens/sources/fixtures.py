@@ -112,6 +112,13 @@ def _links(spark, sf_dir):
 
 
 def _changelog(spark, sf_dir):
+    """Nested change log per issue (document model: one issue document carries its
+    whole change log, as a search page with ``expand=changelog`` returns it).
+
+    Only the queries whose operator is defined on nested documents use it
+    (PRJ-11, FLT-04, SRC-04/JOB-07 pages); the profile reads the flat change
+    items of ``tracker_tables`` and never assembles this array.
+    """
     ev = table(spark, sf_dir, "events")
     field = F.col("event_type")
     for src, dst in CHANGE_FIELD_MAP.items():
