@@ -80,7 +80,8 @@ def confusion_wide(res: DataFrame) -> DataFrame:
     tmp = [f"_c{i}" for i in range(len(names))]
     w = wide.toDF(*tmp)
     w = w.select(tmp[0], *[F.coalesce(F.col(t), F.lit(0).cast("long")).alias(t) for t in tmp[1:]])
-    return w.toDF(*names)
+    # rows in sorted order of the expected class (one row per class: a tiny sort)
+    return w.orderBy(tmp[0]).toDF(*names)
 
 
 def class_report(res: DataFrame) -> DataFrame:
