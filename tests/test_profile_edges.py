@@ -29,6 +29,12 @@ DOCS = [
         "issuelinks": [{"id": "L1", "type": {"name": "Blocks"}}], "comments": [],
         "custom_fields": {"cf_B": "E-9", "cf_A": "ignored"}},
      "changelog": {"histories": [{"items": [{"field": "project", "fromString": "P0"}]}]}},
+    {"repo": "D", "_id": "5", "key": "D-1", "fields": {
+        "created": "2005-01-01T00:00:00", "issuelinks": None, "subtasks": None, "comments": None,
+        "custom_fields": None},
+     "changelog": {"histories": []}},
+    {"repo": "D", "_id": "6", "key": "D-2", "fields": {"created": "2004-01-01T00:00:00", "summary": ""},
+     "changelog": {"histories": None}},
 ]
 
 
@@ -41,7 +47,7 @@ def issues(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def repos(spark):
-    return spark.createDataFrame([("A", "cf_A", 1), ("B", "cf_B", 0), ("C", "cf_C", 0)],
+    return spark.createDataFrame([("A", "cf_A", 1), ("B", "cf_B", 0), ("C", "cf_C", 0), ("D", "cf_D", 0)],
                                  "repo string, epic_field string, born_skip int")
 
 
@@ -54,13 +60,20 @@ def test_profile(issues, repos):
     assert (b["issues"], b["links"], b["uit"], b["up"], b["changes"], b["comments"]) == (1, 2, 1, 2, 1, 0)
     assert b["born"] == "2010"
     assert (c["issues"], c["links"], c["dit"], c["dlt"], c["born"], c["changes_per_issue"]) == (0, 0, 0, 0, None, None)
+    d = p["D"]   # null and empty arrays, empty and null change logs
+    assert (d["issues"], d["links"], d["ult"], d["uit"], d["changes"], d["comments"], d["born"]) == (2, 0, 0, 0, 0, 0, "2004")
+    assert (d["changes_per_issue"], d["comments_per_issue"]) == (0, 0)
 
 
 def test_metric_functions_agree(issues, repos):
     sets = {r["repo"]: r for r in pf.distinct_sets(issues).collect()}
-    assert {r["repo"]: r["uit"] for r in pf.used_types(issues).collect()} == {k: v["uit"] for k, v in sets.items()}
-    assert {r["repo"]: r["up"] for r in pf.unique_projects(issues).collect()} == {k: v["up"] for k, v in sets.items()}
-    assert {r["repo"]: r["ult"] for r in pf.used_link_types(issues).collect()} == {k: v["ult"] for k, v in sets.items()}
+
+    def nonzero(d):   # a source without members is absent on one side, 0/null on the other
+        return {k: v for k, v in d.items() if v}
+
+    for fn, col in ((pf.used_types, "uit"), (pf.unique_projects, "up"), (pf.used_link_types, "ult")):
+        assert nonzero({r["repo"]: r[col] for r in fn(issues).collect()}) == \
+            nonzero({k: v[col] for k, v in sets.items()})
 
 
 def test_half_even(spark):
