@@ -20,6 +20,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settled(condition: Column) -> Column:
+    """The condition as a column that the optimizer does not move.
+
+    A filter on a computed column is else pushed below the projection that computes it,
+    which then evaluates the whole computation twice, and inside lambdas once an element.
+    Filters are not moved below what depends on the partition; the test itself always holds.
+    """
+    return condition & (F.spark_partition_id() >= 0)
+
+
 def text_of(column: Column | str) -> Column:
     """The text, the empty one for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -30,7 +30,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.llm.common import keep_row, land, let, text_of
+from issuelens.llm.common import keep_row, land, let, settled, text_of
 
 CONTEXT = 256  # bytes on either side of a mention in which terms count as its context
 TERM = r"\p{L}+"
@@ -143,15 +143,16 @@ def _entity(span: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """row, t (the text), h1 and h2 (its hash) and base (its base spans)."""
+    """row, t (the text), h1 and h2 (its hash), base (its base spans) and hit (if there are any)."""
     return (keep_row(docs).withColumn("t", text_of(F.col("row")[text]))
-            .withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit("h2"), "t"), "base": base_spans(F.col("t"))}))
+            .withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit("h2"), "t"), "base": base_spans(F.col("t"))})
+            .withColumn("hit", settled(F.size("base") > 0)))
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.9,
                      remove_at: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(mentions h1, h2, c, ...) and (c, term, ratio, removed) for the terms that give c away."""
-    hit = _scanned(docs, text).filter(F.size("base") > 0)
+    hit = _scanned(docs, text).filter("hit")
     mentions = land(hit.select("h1", "h2", "t", F.explode("base").alias("s")).select(
         "h1", "h2", _entity(F.col("s")).alias("c"), _context(F.col("t"), F.col("s")).alias("terms")), "mentions")
     n_docs = docs.count()
@@ -184,7 +185,7 @@ def find(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: f
     mentions, terms = disclosing_terms(docs, text, support, generalise_at, remove_at)
     marked = land(mentions.join(terms, "c").groupBy("h1", "h2", "term").agg(F.max("removed").alias("removed")), "marked")
     scanned = _scanned(docs, text)
-    hit = scanned.filter(F.size("base") > 0)
+    hit = scanned.filter("hit")
     texts = hit.select("h1", "h2", "t").join(marked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     words = (texts.select("h1", "h2", F.explode(_matches(F.col("t"), TERM, TERM_RANK)).alias("s"))
              .withColumn("term", F.lower("s.value")).filter(F.char_length("term") >= LEAST_LETTERS))
@@ -193,7 +194,7 @@ def find(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: f
         F.when(F.col("removed"), "").otherwise("[TERM]").alias("value"))).alias("more"))
     with_base = (hit.join(found, ["h1", "h2"], "left")
                  .withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more")))))
-    without = scanned.filter(F.size("base") == 0).withColumn("spans", F.col("base"))
+    without = scanned.filter("not hit").withColumn("spans", F.col("base"))
     columns = ("row", "t", "base", "spans")
     return with_base.select(*columns).unionByName(without.select(*columns))
 

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from issuelens.llm.common import BLANK, keep_row, let, text_of, words_of
+from issuelens.llm.common import BLANK, keep_row, let, settled, text_of, words_of
 
 WINDOW = 8  # words of a repetition window
 
@@ -143,4 +143,4 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that every rule accepts, with their columns as they are."""
-    return quality(docs, rules, text).filter("kept").select("row.*")
+    return quality(docs, rules, text).select("row", settled(F.col("kept")).alias("kept")).filter("kept").select("row.*")
