@@ -63,11 +63,20 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def embed_column(text, encoder=None, batch_size: int = ENCODE_BATCH_SIZE) -> Column:
     """Column expression: unit-norm ``array<float>`` of ``text`` (null text -> '').
 
-    A batch whose encoder call raises yields null vectors for its rows (the
-    reference drops such a batch); callers filter or count them.
+    When the encoder raises on a batch, its texts are encoded one by one: only
+    texts that fail alone get a null vector; callers filter or count them.
     """
     enc = encoder or HashingEncoder()
 
+    def vectors(texts: list[str]) -> list[np.ndarray]:
+        return list(_unit_rows(np.asarray(enc.encode(texts), dtype=np.float64)).astype(np.float32))
+
+    def alone(text: str) -> np.ndarray | None:
+        try:
+            return vectors([text])[0]
+        except Exception:
+            return None
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -76,10 +85,9 @@ def embed_column(text, encoder=None, batch_size: int = ENCODE_BATCH_SIZE) -> Col
             for i in range(0, len(texts), batch_size):
                 chunk = texts[i:i + batch_size]
                 try:
-                    m = _unit_rows(np.asarray(enc.encode(chunk), dtype=np.float64))
-                    parts.extend(list(m.astype(np.float32)))
+                    parts.extend(vectors(chunk))
                 except Exception:
-                    parts.extend([None] * len(chunk))
+                    parts.extend(alone(text) for text in chunk)
             yield pd.Series(parts, dtype=object)
 
     col = F.col(text) if isinstance(text, str) else text

@@ -29,7 +29,7 @@ def results(predicted: DataFrame, testset: DataFrame) -> DataFrame:
         "query_id", "summary", F.coalesce("description", F.lit("")).alias("description"),
         "expected",
         F.coalesce("predicted", F.lit("ERROR_QUERY_FAILED")).alias("predicted"),
-        (~failed & same_label(F.col("predicted"), F.col("expected"))).alias("is_correct"),
+        F.coalesce(~failed & same_label(F.col("predicted"), F.col("expected")), F.lit(False)).alias("is_correct"),
         F.coalesce("llm_output", F.lit("ERROR: Query command failed or returned None")).alias("llm_output"),
     )
 
