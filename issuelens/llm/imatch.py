@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from issuelens.llm.common import keep_row, land, tasks, text_of, words_of
+from issuelens.llm.common import keep_row, tasks, text_of, words_of
 
 LOW, HIGH = math.log(4), math.log(2000)
 FAMILIES, LEVELS, DIGITS = 16, 12, 3
-SLICE = 1 << 19  # terms of the texts worked on at once
+SLICE = 1 << 17  # terms of the texts worked on at once
 EMPTY = "-" * DIGITS
 
 
@@ -60,8 +60,10 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
 def _prints(terms: list[np.ndarray], band: np.ndarray) -> list[str]:
     """Fingerprints of texts given as arrays of term hashes."""
     n = len(terms)
+    if not n:
+        return []
     of = np.repeat(np.arange(n), [len(t) for t in terms])
-    term = np.concatenate(terms) if n else np.zeros(0, np.int64)
+    term = np.concatenate(terms)
     if len(band):
         at = np.minimum(np.searchsorted(band, term), len(band) - 1)
         inside = band[at] == term
@@ -179,13 +181,13 @@ def edit_report(docs: DataFrame, low: float = LOW, high: float = HIGH, id: str =
     beside = edited_neighbours(docs, id, text)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
-    w = W.partitionBy("bucket").orderBy("kind", "place")
-    done = (beside.withColumns({"n_chars": n.cast("long"), "edited": edited}).drop("next_text")
-            .withColumns({"edited_sha256": F.sha2("edited", 256),
-                          "fingerprint": fingerprint(term_hashes(F.col("text")), band),
-                          "edited_fingerprint": fingerprint(term_hashes(F.col("edited")), band)})
-            .drop("text", "edited").withColumn("next_fingerprint", F.lead("fingerprint").over(w)).filter("own"))
+    edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(text_of("next_text"), F.lit(1), cut))
+    # The next document's fingerprint is made anew here: a second exchange of fingerprints would cost more.
+    done = beside.filter("own").withColumns({"n_chars": n.cast("long"), "edited": edited}).withColumns({
+        "edited_sha256": F.sha2("edited", 256),
+        "fingerprint": fingerprint(term_hashes(F.col("text")), band),
+        "edited_fingerprint": fingerprint(term_hashes(F.col("edited")), band),
+        "next_fingerprint": fingerprint(term_hashes(text_of("next_text")), band)})
     return done.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.coalesce("next_fingerprint", "fingerprint")).alias("near_next"))
+                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
