@@ -63,34 +63,37 @@ def _prints(terms: list[np.ndarray], band: np.ndarray) -> list[str]:
     if not n:
         return []
     of = np.repeat(np.arange(n), [len(t) for t in terms])
-    term = np.concatenate(terms)
+    known, term = np.unique(np.concatenate(terms), return_inverse=True)  # what depends on a term alone is worked out once
+    if not len(known):
+        return [EMPTY * FAMILIES * LEVELS] * n
     if len(band):
-        at = np.minimum(np.searchsorted(band, term), len(band) - 1)
-        inside = band[at] == term
+        at = np.minimum(np.searchsorted(band, known), len(band) - 1)
+        inside = (band[at] == known)[term]
     else:
         inside = np.zeros(len(term), bool)
     keep = inside | (np.bincount(of[inside], minlength=n) == 0)[of]
-    of, term = of[keep], term[keep]
-    order = np.lexsort((term, of))  # each text's terms, sorted
-    of, term = of[order], term[order]
-    first = np.ones(len(of), bool)
-    first[1:] = (of[1:] != of[:-1]) | (term[1:] != term[:-1])
-    of, term = of[first], term[first]
-    codes = np.full((n, FAMILIES, LEVELS), -1, np.int64)
+    pairs = np.sort(of[keep] * len(known) + term[keep])  # each text's terms, sorted
+    first = np.ones(len(pairs), bool)
+    first[1:] = pairs[1:] != pairs[:-1]
+    of, term = np.divmod(pairs[first], len(known))
+    codes = np.full((n, FAMILIES, LEVELS), 16 ** DIGITS, np.int64)
     with np.errstate(over="ignore"):
         for f in range(FAMILIES):
-            draw = _mixed(term, f + 1)
-            value, left, owner = _mixed(draw, 77), draw, of
+            draw = _mixed(known, f + 1)
+            # A term is in the subsets up to its draw's number of trailing zero bits.
+            deepest = np.minimum(np.bitwise_count((draw & -draw) - np.uint64(1)), LEVELS - 1).astype(np.int64)
+            cell = of * LEVELS + deepest[term]
+            sums = np.zeros(n * LEVELS, np.uint64)
+            np.add.at(sums, cell, _mixed(draw, 77)[term])
+            some = np.bincount(cell, minlength=n * LEVELS).reshape(n, LEVELS)
+            some = np.cumsum(some[:, ::-1], axis=1)[:, ::-1] > 0
+            sums = np.cumsum(sums.reshape(n, LEVELS)[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
             for level in range(LEVELS):
-                if level:  # half of the subset before
-                    half = (left & np.uint64(1)) == 0
-                    left, value, owner = left[half] >> np.uint64(1), value[half], owner[half]
-                if not len(owner):
-                    break
-                starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                codes[owner[starts], f, level] = (_mixed(np.add.reduceat(value, starts), level) >> np.uint64(64 - 4 * DIGITS)).astype(np.int64)
-    names = np.array([f"{k:0{DIGITS}x}" for k in range(16 ** DIGITS)] + [EMPTY])
-    return ["".join(names[row]) for row in codes.reshape(n, -1)]
+                code = (_mixed(sums[:, level], level) >> np.uint64(64 - 4 * DIGITS)).astype(np.int64)
+                codes[:, f, level] = np.where(some[:, level], code, 16 ** DIGITS)
+    names = np.array([f"{k:0{DIGITS}x}" for k in range(16 ** DIGITS)] + [EMPTY], f"S{DIGITS}")
+    digits, width = names[codes.reshape(n, -1)].tobytes().decode(), FAMILIES * LEVELS * DIGITS
+    return [digits[k:k + width] for k in range(0, n * width, width)]
 
 
 def fingerprint(terms: Column, band: np.ndarray) -> Column:
