@@ -2,7 +2,7 @@
 
 No pair of (query, corpus row) is ever materialised as a Spark row. Similarities
 are computed as NumPy block products inside tasks, and a task emits at most ``k``
-rows per query (plus exact ties at the k-th place). The final cut is a
+rows per query and block of corpus rows, ties at the k-th place cut by key. The final cut is a
 ``row_number() <= k`` window on (similarity desc, key asc), which Spark runs as a
 ``WindowGroupLimit`` before and after the shuffle on ``query_id``.
 
@@ -34,6 +34,8 @@ PAIR_SCHEMA = "query_id string, key string, similarity double"
 # above either bound the blocked plan runs.
 MAX_BROADCAST_QUERIES = 50_000
 MAX_BROADCAST_BYTES = 256 << 20
+# Rows that are left after the cut (k * queries) and broadcast to the metadata at most.
+MAX_BROADCAST_SURVIVORS = 500_000
 # Rows per block in the blocked plan (each side).
 BLOCK_ROWS = 20_000
 # Entries of one similarity tile held in memory (float64): 2^24 = 128 MiB.
@@ -56,7 +58,7 @@ def _best(q_ids: np.ndarray, keys: np.ndarray, sims: np.ndarray, k: int) -> pd.D
 
 def _candidates(C: np.ndarray, ckeys: np.ndarray, Q: np.ndarray, qids: np.ndarray,
                 k: int, exclude_self: bool):
-    """Rows of C that may be among the top k of each query of Q (ties kept)."""
+    """Rows of C that may be among the top k of each query of Q: at most k each, by (similarity desc, key asc)."""
     out_q, out_k, out_s = [], [], []
     b = C.shape[0]
     if b == 0 or Q.shape[0] == 0:
@@ -72,7 +74,13 @@ def _candidates(C: np.ndarray, ckeys: np.ndarray, Q: np.ndarray, qids: np.ndarra
             S[rows, pos[rows]] = -np.inf
         if b > k:
             thr = np.partition(S, b - k, axis=0)[b - k]   # k-th largest per query
-            ri, ci = np.nonzero((S >= thr) & np.isfinite(S))
+            kept = (S >= thr) & np.isfinite(S)
+            if kept.sum() > k * len(ids):                 # ties at the k-th place: the first keys stay
+                order = np.argsort(ckeys, kind="stable")
+                room = k - (S > thr).sum(axis=0)
+                even = S[order] == thr
+                kept[order] &= ~(even & (np.cumsum(even, axis=0) > room))
+            ri, ci = np.nonzero(kept)
         else:
             ri, ci = np.nonzero(np.isfinite(S))
         out_q.append(ids[ci])
@@ -175,7 +183,7 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: boo
             raise ValueError("query set exceeds the broadcast bound")
     if n_q is not None:
         pairs = _broadcast_plan(queries, corpus, k, exclude_self)
-        survivors_small = True
+        survivors_small = k * n_q <= MAX_BROADCAST_SURVIVORS
     else:
         n_queries = queries.count()
         n_corpus = corpus.count()
@@ -185,8 +193,8 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: boo
     meta = [m for m in metadata if m in corpus.columns]
     if meta:
         side = corpus.select("key", *meta)
-        # k * |queries| survivors; proven small in the broadcast plan, so the corpus
-        # metadata is streamed past them instead of being shuffled.
+        # k * |queries| survivors; where they are proven few, the corpus metadata is
+        # streamed past them instead of being shuffled.
         top = (side.join(F.broadcast(top), "key") if survivors_small
                else top.join(side, "key"))
     return top.select("query_id", "rank", "key", "similarity", *meta)

@@ -10,19 +10,12 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 100_000
 
 
-_COUNTS: dict = {}
-
-
 def row_count_at_most(df: DataFrame, bound: int) -> int | None:
     """Number of rows if it is <= ``bound``, else None (reads at most bound+1 rows).
 
-    Remembered per logical plan (``semanticHash``) within the process, so the same
-    dimension is not counted again by every query that joins it.
+    Counted every time: files below a path can grow between two queries.
     """
-    key = (df.semanticHash(), bound)
-    if key not in _COUNTS:
-        _COUNTS[key] = df.limit(bound + 1).count()
-    n = _COUNTS[key]
+    n = df.limit(bound + 1).count()
     return n if n <= bound else None
 
 

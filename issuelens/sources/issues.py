@@ -37,6 +37,12 @@ def flatten_issues(docs: DataFrame, keep=()) -> DataFrame:
     )
 
 
+def same_issue(*frames: DataFrame) -> list[str]:
+    """Columns that identify an issue in all ``frames``: tracker and key, the key alone
+    where a frame holds no tracker column (tables of a single tracker)."""
+    return ["repo", "key"] if all("repo" in df.columns for df in frames) else ["key"]
+
+
 def index_text(df: DataFrame, out: str = "text") -> DataFrame:
     """PRJ-02: summary + one space + description, untrimmed (nulls read as '')."""
     return df.withColumn(out, F.concat(F.coalesce(F.col("summary"), F.lit("")), F.lit(" "),

@@ -1,15 +1,15 @@
 """Held-out evaluation slice (SRC-03, SORT-01, SORT-03, PRJ-07, FLT-01, JOB-06).
 
-``slice_by_order`` returns rows ``skip .. skip+limit-1`` of a total order:
+``slice_by_order`` returns rows ``skip .. skip+limit-1`` of a total order (null first):
 
-* ``take``   - ``orderBy().offset().limit()``: Spark runs it as
-  ``TakeOrderedAndProject`` keeping ``skip+limit`` rows per task; right for
-  small offsets.
-* ``ranked`` - for deep offsets: range-partition on the order key, checkpoint
-  (so counts and rows come from the same layout), count rows per partition
-  (one small row per partition), turn counts into starting offsets and number
-  rows inside each partition. Nothing but the per-partition counts reaches the
-  driver, and no task holds more than one range partition.
+* ``ranked`` (the default, at every offset) - only the order column is range-partitioned
+  and checkpointed (so counts and rows come from the same layout); rows per partition
+  are counted (one small row per partition) and turned into starting offsets, and only
+  the partitions that the slice touches are numbered. That gives the order's values at
+  both ends of the slice; the wide rows are then read by a range filter, which reaches
+  the scan.
+* ``take`` - ``orderBy().offset().limit()`` for callers that know the offset is small:
+  Spark runs it as ``TakeOrderedAndProject`` keeping ``skip+limit`` rows per task.
 """
 
 from __future__ import annotations
@@ -21,31 +21,37 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-TAKE_BOUND = 1_000_000
 
-
-def slice_by_order(df: DataFrame, order: str, skip: int, limit: int, strategy: str = "auto",
+def slice_by_order(df: DataFrame, order: str, skip: int, limit: int, strategy: str = "ranked",
                    partitions: int | None = None) -> DataFrame:
-    if strategy == "auto":
-        strategy = "take" if skip + limit <= TAKE_BOUND else "ranked"
     if strategy == "take":
         return df.orderBy(F.col(order).asc()).offset(skip).limit(limit)
     if strategy != "ranked":
         raise ValueError(f"unknown strategy {strategy!r}")
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, F.col(order).asc())
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.col("_value")
+    ranged = cut_lineage(df.select(F.col(order).alias("_value")).repartitionByRange(n, value.asc())
                          .withColumn("_pid", F.spark_partition_id()))
     counts = {r["_pid"]: r["n"] for r in ranged.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
     pids = sorted(counts)
-    starts = dict(zip(pids, [0] + list(accumulate(counts[p] for p in pids))[:-1]))
-    start_df = spark.createDataFrame([(p, s) for p, s in starts.items()], "_pid int, _start long")
-    w = Window.partitionBy("_pid").orderBy(F.col(order).asc())
-    # one row per partition: bounded by the partition count, safe to broadcast
-    ranked = (ranged.join(F.broadcast(start_df), "_pid")
-              .withColumn("_pos", F.col("_start") + F.row_number().over(w) - 1))
-    out = ranked.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + limit))
-    return out.orderBy("_pos").drop("_pid", "_start", "_pos")
+    starts = dict(zip(pids, accumulate((counts[p] for p in pids), initial=0)))
+    end = min(skip + limit, sum(counts.values())) - 1
+    if end < skip:
+        return df.limit(0)
+    touched = [p for p in pids if starts[p] <= end and starts[p] + counts[p] > skip]
+    start = F.element_at(F.create_map(*[x for p in touched for x in (F.lit(p), F.lit(starts[p]).cast("long"))]), F.col("_pid"))
+    w = Window.partitionBy("_pid").orderBy(value.asc())
+    placed = (ranged.where(F.col("_pid").isin(touched))
+              .withColumn("_pos", (start + F.row_number().over(w) - 1).cast("long")))
+    ends = placed.where(F.col("_pos").isin(skip, end)).orderBy("_pos").collect()   # one or two rows
+    first, last = ends[0]["_value"], ends[-1]["_value"]
+    col = F.col(order)
+    after = F.lit(True) if first is None else col >= F.lit(first)
+    before = col.isNull() if last is None else (col <= F.lit(last)) | (col.isNull() if first is None else F.lit(False))
+    kept = df.where(after & before)
+    # Equal values share a range partition, so all rows that tie with the slice's first are in ``placed``.
+    ahead = placed.where(value.eqNullSafe(F.lit(first)) & (F.col("_pos") < skip)).count()
+    return kept.orderBy(col.asc()).offset(ahead).limit(limit)
 
 
 def testset_rows(issues: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def make_testset(issues: DataFrame, skip: int, limit: int, order: str = "_id",
-                 strategy: str = "auto") -> DataFrame:
+                 strategy: str = "ranked") -> DataFrame:
     """JOB-06: slice by landing order, then keep usable rows (at most ``limit``)."""
     s = slice_by_order(issues, order, skip, limit, strategy)
     return usable(testset_rows(s))

@@ -4,10 +4,12 @@ A file-source stream over landed issue files, processed with
 ``trigger(availableNow=True)``: every run takes what arrived since the last
 checkpoint, in batches bounded by ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
 Each micro-batch is embedded and appended to the index table inside
-``foreachBatch``, after a ``left_anti`` join on the key against the index, so
+``foreachBatch``, after a ``left_anti`` join on tracker and key against the index, so
 a replayed batch (crash between write and commit) or a fresh checkpoint adds
-nothing twice. Identity is the key, not an offset (fixes the reference's
-resume-by-count).
+nothing twice; an issue that a batch holds twice is added once. Identity is tracker
+and key, not an offset (fixes the reference's resume-by-count). Issues whose text
+the encoder fails on are kept in a table of rejects beside the index, and
+``retry_rejected`` encodes them again.
 """
 
 from __future__ import annotations
@@ -16,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.index import build_index
+from ..functions.embedding import embed
+from ..operators.index import encode_issues, pending
+from ..session import materialize
+from ..sources.issues import same_issue
 
 
 def _index_exists(spark: SparkSession, path: str) -> bool:
@@ -27,14 +32,36 @@ def _index_exists(spark: SparkSession, path: str) -> bool:
                                 for s in fs.listStatus(p))
 
 
+def rejects_path(index_path: str) -> str:
+    return f"{index_path.rstrip('/')}-rejected"
+
+
 def index_batch(batch: DataFrame, index_path: str, encoder=None) -> None:
-    """Append the rows of ``batch`` whose key is not in the index yet."""
+    """Append the issues of ``batch`` that are not in the index yet; those whose text fails go to the rejects."""
     spark = batch.sparkSession
     if _index_exists(spark, index_path):
         # anti join before encoding: rows already indexed are never embedded again
-        have = spark.read.parquet(index_path).select(F.col("issue_key").alias("key"))
-        batch = batch.join(have, "key", "left_anti")
-    build_index(batch, encoder).write.mode("append").parquet(index_path)
+        batch = pending(batch, spark.read.parquet(index_path))
+    batch = batch.dropDuplicates(same_issue(batch))
+    encoded = materialize(encode_issues(batch, encoder), "encoded")   # encoded once for both tables
+    failed = F.col("embedding").isNull()
+    # rejects first: a crash between the two writes replays the batch and loses nothing
+    encoded.where(failed).drop("embedding").write.mode("append").parquet(rejects_path(index_path))
+    encoded.where(~failed).write.mode("append").parquet(index_path)
+
+
+def rejected(spark: SparkSession, index_path: str) -> DataFrame:
+    """Issues whose text the encoder failed on and that no later run has indexed, once each."""
+    lost = spark.read.parquet(rejects_path(index_path))
+    lost = lost.dropDuplicates([c for c in ("repo", "issue_key") if c in lost.columns])
+    return pending(lost, spark.read.parquet(index_path), key="issue_key")
+
+
+def retry_rejected(spark: SparkSession, index_path: str, encoder=None) -> None:
+    """Encode the rejects again and append those that succeed now."""
+    done = materialize(embed(rejected(spark, index_path), "text", encoder=encoder), "retried")
+    columns = spark.read.parquet(index_path).columns
+    done.where(F.col("embedding").isNotNull()).select(*columns).write.mode("append").parquet(index_path)
 
 
 def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructType | str,
