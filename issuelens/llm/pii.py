@@ -6,14 +6,15 @@ Everything is a DataFrame or SQL expression; no Python runs on the executors.
    pieces between matches (``split``) and a prefix scan of their lengths.
 2. *Information content.* A protected entity is one value (an address, a number). For an
    entity c and a term t (a run of letters, lower-cased) the corpus gives df(c), df(t)
-   and df(c, t), the documents where t stands within ``CONTEXT`` bytes of a mention of c.
+   and df(c, t): the documents (copies counted) that hold c, t, or both, wherever in them.
    IC(c) = ln(N / df(c)) is what c's disclosure is worth, PMI(c; t) = ln(N df(c, t) /
-   (df(c) df(t))) what t tells of it. Their ratio is 1 if t occurs only beside c.
+   (df(c) df(t))) what t tells of it. Their ratio is 1 if t occurs only with c.
 3. *Sanitising.* In documents that mention c, every occurrence of a term whose ratio
    reaches ``generalise_at`` becomes a general tag, from ``remove_at`` on nothing.
    A ratio counts only if ``support`` different texts show the pair.
 
-Pairs of entity and term are bounded by the context, so they grow with the mentions.
+PMI is at most ln(N / df(t)), so terms of many documents drop out exactly, before they are
+paired: pairs of entity and term are those whose df(t) alone lets the ratio suffice.
 Counts are partial sums before each shuffle; texts are shuffled only for documents with
 a base span, and by a hash of the text, so that equal texts share their result.
 
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from issuelens.llm.common import keep_row, land, let, settled, text_of
 
-CONTEXT = 256  # bytes on either side of a mention in which terms count as its context
 TERM = r"\p{L}+"
 LEAST_LETTERS = 3
 
@@ -125,14 +125,9 @@ def _slice(data: Column, start: Column, end: Column) -> Column:
     return F.substr(data, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Distinct terms beside a span; a word that the context's edge cuts is left out."""
-    data, size = text.cast("binary"), F.octet_length(text)
-    left, right = F.greatest(span["bstart"] - CONTEXT, F.lit(0)), F.least(span["bend"] + CONTEXT, size)
-    words = lambda x: F.split(F.lower(x), r"[^\p{L}]+", -1)
-    before = let(words(_slice(data, left, span["bstart"])), lambda w: F.when(left > 0, F.slice(w, 2, F.size(w))).otherwise(w))
-    after = let(words(_slice(data, span["bend"], right)), lambda w: F.when(right < size, F.slice(w, 1, F.size(w) - 1)).otherwise(w))
-    return F.filter(F.array_distinct(F.concat(before, after)), lambda w: F.char_length(w) >= LEAST_LETTERS)
+def _terms(text: Column) -> Column:
+    """Distinct terms of a non-null text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1)), lambda w: F.char_length(w) >= LEAST_LETTERS)
 
 
 def _entity(span: Column) -> Column:
@@ -151,36 +146,38 @@ def _scanned(docs: DataFrame, text: str) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.9,
                      remove_at: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """(mentions h1, h2, c, ...) and (c, term, ratio, removed) for the terms that give c away."""
+    """(mentions h1, h2, c) and (c, term, ratio, removed) for the terms that give c away."""
     hit = _scanned(docs, text).filter("hit")
-    mentions = land(hit.select("h1", "h2", "t", F.explode("base").alias("s")).select(
-        "h1", "h2", _entity(F.col("s")).alias("c"), _context(F.col("t"), F.col("s")).alias("terms")), "mentions")
-    n_docs = docs.count()
-    # A document counts once for an entity, however often it mentions it; copies of a text
-    # count in df as rows do, but are one text in the support.
-    of_c = mentions.groupBy("h1", "h2", "c").agg(F.lit(1).alias("one"))
-    copies = land(hit.groupBy("h1", "h2").agg(F.count("*").alias("copies")), "copies")
-    df_c = of_c.join(copies, ["h1", "h2"]).groupBy("c").agg(F.sum("copies").alias("df_c"), F.count("*").alias("texts"))
-    often = df_c.filter(F.col("texts") >= support).select("c", "df_c")
-    pairs = mentions.select("h1", "h2", "c", F.explode("terms").alias("term")).distinct().join(copies, ["h1", "h2"])
-    df_ct = pairs.groupBy("c", "term").agg(F.sum("copies").alias("df_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    candidates = land(df_ct.join(often, "c").select("c", "term", "df_c", "df_ct"), "candidates")
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text)), r"[^\p{L}]+", -1))).alias("term"))
-    df_t = every.filter(F.char_length("term") >= LEAST_LETTERS).groupBy("term").agg(F.count("*").alias("df_t"))
-    total = F.lit(float(n_docs))
-    worth, tells = F.log(total / F.col("df_c")), F.log(total * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
-    ratio = F.when(worth > 0, tells / worth).otherwise(0.0)
-    if candidates.isEmpty():
-        df_t = df_t.limit(0)  # nothing to count for
-    terms = (df_t.join(candidates, "term").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise_at)
+    # A document counts once for an entity, however often it mentions it; copies count as rows do.
+    of_c = land(hit.select("h1", "h2", F.explode(F.array_distinct(F.transform("base", _entity))).alias("c"))
+                .groupBy("h1", "h2", "c").agg(F.count("*").alias("copies")), "mentions")
+    df_c = land(of_c.groupBy("c").agg(F.sum("copies").alias("df_c")), "entities")
+    mentions = of_c.select("h1", "h2", "c")
+    most = df_c.agg(F.max("df_c")).first()[0]
+    if most is None:
+        none = df_c.select("c", F.col("c").alias("term"), F.lit(0.0).alias("ratio"), F.lit(False).alias("removed"))
+        return mentions, none.limit(0)  # nothing to count for
+    df_t = land(docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "df_t")
+    total = F.lit(float(docs.count()))
+    worth = lambda n: F.log(total / n)
+    # The ratio is at most worth(df_t) / worth(df_c): a bound for all entities first, then for each.
+    enough = lambda n: worth(F.col("df_t")) >= generalise_at * worth(n) - 1e-9
+    rare = df_t.filter(enough(F.lit(float(most))))
+    held = (hit.select("h1", "h2", F.explode(_terms(F.col("t"))).alias("term")).join(rare, "term")
+            .groupBy("h1", "h2", "term", "df_t").agg(F.count("*").alias("n")))
+    pairs = held.join(mentions.join(df_c, "c"), ["h1", "h2"]).filter(enough(F.col("df_c")))
+    df_ct = pairs.groupBy("c", "term", "df_c", "df_t").agg(F.sum("n").alias("df_ct"), F.count("*").alias("texts"))
+    tells = F.log(total * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
+    ratio = F.when(F.col("df_c") < total, tells / worth(F.col("df_c"))).otherwise(0.0)
+    terms = (df_ct.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise_at) & (F.col("texts") >= support))
              .select("c", "term", "ratio", (F.col("ratio") >= remove_at).alias("removed")))
-    return of_c.drop("one"), land(terms, "terms")
+    return mentions, land(terms, "terms")
 
 
 def find(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.99) -> DataFrame:
     """``row`` (all columns), ``t``, ``base`` and ``spans`` (base spans and disclosing terms, by start, then kind).
 
-    A term's ``value`` is its tag: empty if it is removed, [TERM] if it is generalised.
+    Terms inside a base span are covered by it. A term's ``value`` is its tag: empty if it is removed, [TERM] if it is generalised.
     """
     mentions, terms = disclosing_terms(docs, text, support, generalise_at, remove_at)
     marked = land(mentions.join(terms, "c").groupBy("h1", "h2", "term").agg(F.max("removed").alias("removed")), "marked")
@@ -188,11 +185,12 @@ def find(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: f
     hit = scanned.filter("hit")
     texts = hit.select("h1", "h2", "t").join(marked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     words = (texts.select("h1", "h2", F.explode(_matches(F.col("t"), TERM, TERM_RANK)).alias("s"))
-             .withColumn("term", F.lower("s.value")).filter(F.char_length("term") >= LEAST_LETTERS))
+             .withColumn("term", F.lower("s.value")))
     found = words.join(marked, ["h1", "h2", "term"]).groupBy("h1", "h2").agg(F.collect_list(F.struct(
         "s.start", "s.rank", "s.end", "s.bstart", "s.bend",
         F.when(F.col("removed"), "").otherwise("[TERM]").alias("value"))).alias("more"))
-    with_base = (hit.join(found, ["h1", "h2"], "left")
+    beside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    with_base = (hit.join(found, ["h1", "h2"], "left").withColumn("more", beside)
                  .withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more")))))
     without = scanned.filter("not hit").withColumn("spans", F.col("base"))
     columns = ("row", "t", "base", "spans")

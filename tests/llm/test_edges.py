@@ -63,6 +63,22 @@ def test_private_data(spark, docs, none):
     assert pii.sanitise(docs).columns == docs.columns and pii.find(none).count() == 0
 
 
+def private(spark, texts):
+    """(kind, text) of the spans of each text."""
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("row.doc_id", pii.listed(pii.F.col("spans")).alias("s"))
+    return {r.doc_id: {(kind, texts[r.doc_id][int(a):int(b)]) for kind, a, b in (x.split(":") for x in r.s.split(",") if x)} for r in found.collect()}
+
+
+def test_terms_far_from_a_mention_disclose_it(spark):
+    common = "some common words that every text of this table has in it again and again " * 8
+    far = [f"Farname {common} mail far@site.org" for _ in range(5)]
+    half = [f"Halfname {common if k % 2 else ''} mail half@site.org {k}" for k in range(6)]
+    said = private(spark, [f"{k} {t}" for k, t in enumerate(far)] + half + [f"{common} {k}" for k in range(60)])
+    for k, terms in said.items():
+        assert (("term", "Farname") in terms) == (k < 5) and (("term", "Halfname") in terms) == (5 <= k < 11)
+        assert not {v for kind, v in terms if kind == "term"} - {"Farname", "Halfname"}
+
+
 def test_mixing(docs, none):
     one, two = (Counter(map(tuple, mixing.mix(docs).collect())) for _ in range(2))
     assert one == two and mixing.mix(none).count() == 0
