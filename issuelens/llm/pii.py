@@ -11,7 +11,9 @@ Everything is a DataFrame or SQL expression; no Python runs on the executors.
    (df(c) df(t))) what t tells of it. Their ratio is 1 if t occurs only with c.
 3. *Sanitising.* In documents that mention c, every occurrence of a term whose ratio
    reaches ``generalise_at`` becomes a general tag, from ``remove_at`` on nothing.
-   A ratio counts only if ``support`` different texts show the pair.
+   A ratio counts if chance does not explain it: of all terms of the corpus, fewer than
+   ``chance`` are to be expected in as many documents of c (Hoeffding's bound on the
+   hypergeometric tail). A single document never decides; two do in a corpus large enough.
 
 PMI is at most ln(N / df(t)), so terms of many documents drop out exactly, before they are
 paired: pairs of entity and term are those whose df(t) alone lets the ratio suffice.
@@ -25,6 +27,7 @@ long texts are scanned whole, in time linear in their length (runs are scanned o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -34,7 +37,6 @@ from pyspark.sql import functions as F
 from issuelens.llm.common import keep_row, land, let, settled, text_of
 
 TERM = r"\p{L}+"
-LEAST_LETTERS = 3
 
 
 class Kind(NamedTuple):
@@ -127,7 +129,7 @@ def _slice(data: Column, start: Column, end: Column) -> Column:
 
 def _terms(text: Column) -> Column:
     """Distinct terms of a non-null text."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1)), lambda w: F.char_length(w) >= LEAST_LETTERS)
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+", -1)), "")
 
 
 def _entity(span: Column) -> Column:
@@ -144,7 +146,17 @@ def _scanned(docs: DataFrame, text: str) -> DataFrame:
             .withColumn("hit", settled(F.size("base") > 0)))
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.9,
+def _against_chance(both: Column, one: Column, other: Column, total: Column) -> Column:
+    """A lower bound of -ln of the chance that ``one`` and ``other`` of ``total`` documents have ``both`` or more in common."""
+    def bound(drawn: Column, marked: Column) -> Column:
+        p, q = marked / total, both / drawn
+        rest = F.when(q < 1, (1 - q) * F.log((1 - q) / F.greatest(1 - p, F.lit(1e-300)))).otherwise(0.0)
+        return F.when(q > p, drawn * (q * F.log(q / p) + rest)).otherwise(0.0)
+
+    return F.greatest(bound(one, other), bound(other, one))
+
+
+def disclosing_terms(docs: DataFrame, text: str = "text", chance: float = 0.01, generalise_at: float = 0.9,
                      remove_at: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(mentions h1, h2, c) and (c, term, ratio, removed) for the terms that give c away."""
     hit = _scanned(docs, text).filter("hit")
@@ -158,7 +170,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = 3, gene
         none = df_c.select("c", F.col("c").alias("term"), F.lit(0.0).alias("ratio"), F.lit(False).alias("removed"))
         return mentions, none.limit(0)  # nothing to count for
     df_t = land(docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "df_t")
-    total = F.lit(float(docs.count()))
+    total, n_terms = F.lit(float(docs.count())), df_t.count()
     worth = lambda n: F.log(total / n)
     # The ratio is at most worth(df_t) / worth(df_c): a bound for all entities first, then for each.
     enough = lambda n: worth(F.col("df_t")) >= generalise_at * worth(n) - 1e-9
@@ -166,20 +178,21 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = 3, gene
     held = (hit.select("h1", "h2", F.explode(_terms(F.col("t"))).alias("term")).join(rare, "term")
             .groupBy("h1", "h2", "term", "df_t").agg(F.count("*").alias("n")))
     pairs = held.join(mentions.join(df_c, "c"), ["h1", "h2"]).filter(enough(F.col("df_c")))
-    df_ct = pairs.groupBy("c", "term", "df_c", "df_t").agg(F.sum("n").alias("df_ct"), F.count("*").alias("texts"))
+    df_ct = pairs.groupBy("c", "term", "df_c", "df_t").agg(F.sum("n").alias("df_ct"))
     tells = F.log(total * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
     ratio = F.when(F.col("df_c") < total, tells / worth(F.col("df_c"))).otherwise(0.0)
-    terms = (df_ct.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise_at) & (F.col("texts") >= support))
+    surprise = _against_chance(F.col("df_ct"), F.col("df_c"), F.col("df_t"), total)
+    terms = (df_ct.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise_at) & (surprise > math.log(max(n_terms, 1) / chance)))
              .select("c", "term", "ratio", (F.col("ratio") >= remove_at).alias("removed")))
     return mentions, land(terms, "terms")
 
 
-def find(docs: DataFrame, text: str = "text", support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.99) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", chance: float = 0.01, generalise_at: float = 0.9, remove_at: float = 0.99) -> DataFrame:
     """``row`` (all columns), ``t``, ``base`` and ``spans`` (base spans and disclosing terms, by start, then kind).
 
     Terms inside a base span are covered by it. A term's ``value`` is its tag: empty if it is removed, [TERM] if it is generalised.
     """
-    mentions, terms = disclosing_terms(docs, text, support, generalise_at, remove_at)
+    mentions, terms = disclosing_terms(docs, text, chance, generalise_at, remove_at)
     marked = land(mentions.join(terms, "c").groupBy("h1", "h2", "term").agg(F.max("removed").alias("removed")), "marked")
     scanned = _scanned(docs, text)
     hit = scanned.filter("hit")

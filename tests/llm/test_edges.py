@@ -79,6 +79,17 @@ def test_terms_far_from_a_mention_disclose_it(spark):
         assert not {v for kind, v in terms if kind == "term"} - {"Farname", "Halfname"}
 
 
+def test_rare_entities_are_decided_by_chance(spark):
+    copy = "Copyname of twelve@site.org wrote this"
+    two = [f"Bo wrote to bo@x.org {k} this" for k in range(2)]
+    one = ["Single wrote to single@y.org this"]
+    said = private(spark, [copy] * 9 + two + one + [f"this wrote to of {k}" for k in range(300)])
+    assert all(("term", "Copyname") in said[k] for k in range(9))
+    assert all(("term", "Bo") in said[k] for k in (9, 10))  # two letters, two documents
+    assert {v for kind, v in said[11] if kind == "term"} == set()  # one document shows nothing
+    assert not any(said[k] for k in range(12, 312))
+
+
 def test_mixing(docs, none):
     one, two = (Counter(map(tuple, mixing.mix(docs).collect())) for _ in range(2))
     assert one == two and mixing.mix(none).count() == 0
