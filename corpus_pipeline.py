@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
 ``run`` writes every stage's result and reads it again. All stages but the last return
 the columns of ``documents``. SQL cannot state SimHash fingerprints or token ids, so
-there is no SQL for the whole; tests hold it against a brute-force version.
+there is no SQL for the whole. Tests hold the operators of its stages against plain
+versions on small rows; none compares the whole pipeline's result with one.
 """
 
 from __future__ import annotations
