@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.llm import chat, imatch, mixing, packing, pii, quality, separators, sharding, simhash, windows
+from issuelens.llm import chat, imatch, mixing, packing, pii, quality, rules, runs, separators, sharding, simhash, whitening, windows
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary, for the faster encoder
@@ -81,9 +81,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", *m, "base_failed", "kept", F.col("failed").alias("failed_rules"))
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document; labels of the rows held out are not looked at."""
+    labels = _table(spark, sf_dir, "labels").filter(~rules.held_out("doc_id"))
+    scored = rules.fit_and_score(_table(spark, sf_dir, "documents"), labels, label="quality")
+    return scored.select(F.col("id").alias("doc_id"), rules.held_out("id").alias("held_out"), "score", "predicted")
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable vector."""
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+    return done.select("row.vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, periodic stretches written into a tenth of them first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(runs.planted(docs)).withColumn("best", runs.strongest(F.col("runs")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli,
+                        F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_poisson_mixing, op3_private_data, op4_interleaved_shards, op5_packed_sequences,
-    op6_simhash_components, op7_repeated_passages, op8_imatch_fingerprints, op9_chat_paths, op10_quality_rules)}
+    op6_simhash_components, op7_repeated_passages, op8_imatch_fingerprints, op9_chat_paths, op10_quality_rules,
+    op11_rule_ensemble, op12_whitened_embeddings, op13_periodic_runs)}
 
 _MIXING_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
