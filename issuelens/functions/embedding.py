@@ -55,6 +55,32 @@ class HashingEncoder:
         return out.reshape(len(texts), self.dim)
 
 
+class DigestEncoder:
+    """Signed hashing of lower-cased words, split at ASCII blanks, by MD5.
+
+    The first 32 bits of a word's digest give its bucket (modulo ``dim``) and, by the highest
+    of them, its sign; any engine with MD5 gives the same vectors. A digest is taken once
+    for each distinct word of a batch.
+    """
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        from hashlib import md5
+
+        number: dict[bytes, int] = {}
+        words = [[number.setdefault(w, len(number)) for w in t.lower().encode().split()] for t in texts]
+        digest = np.array([int.from_bytes(md5(w).digest()[:4]) for w in number], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        word = np.array([i for w in words for i in w], dtype=np.int64)
+        if not len(word):
+            return np.zeros((len(texts), self.dim))
+        sign = np.where(digest >> 31 == 0, 1.0, -1.0)
+        at = owner * self.dim + (digest % self.dim)[word]
+        return np.bincount(at, weights=sign[word], minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)

@@ -1,19 +1,55 @@
 """Evaluation of predictions (JOIN-03, SCL-02/03, AGG-18..22, SET-03, PRJ-06).
 
-Every metric is a ``groupBy`` with map-side partial aggregation; the only value
-that reaches the driver is the label list of the wide confusion matrix, whose
-size is checked (it is the class set, not the data).
+``run`` is the whole job: test items -> neighbours -> prompts -> completions -> one table of
+results, from which every metric and every file is derived. Every metric is a ``groupBy``
+with map-side partial aggregation; the only value that reaches the driver is the label
+list of the wide confusion matrix, whose columns it names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sinks
+from ..functions import prompt as pr
 from ..functions.text import cell, percent, same_label
-from ..plans.inspect import row_count_at_most
+from ..session import materialize
+from . import completions, generate, search
+
+
+class Evaluation(NamedTuple):
+    """``results``: a row for each test item; ``prompts``: (query_id, prompt, llm_output); both written once."""
+
+    results: DataFrame
+    prompts: DataFrame
+
+
+def run(spark: SparkSession, testset: DataFrame, index: str, store: str, generator, encoder=None, k: int = 3,
+        model: str | None = None) -> Evaluation:
+    """JOB-04: ``testset`` (query_id, summary, description, expected) against the stored index at ``index``.
 
-MAX_LABELS = 10_000
+    A query is the summary alone; an item that is in the index itself (its ``query_id`` is a
+    key there) is not its own neighbour. Completions come from the store at ``store``.
+    """
+    items = materialize(testset.select("query_id", "summary", "description", "expected"), "testset")
+    queries = items.select("query_id", F.col("summary").alias("query"))
+    neighbours = search.search(spark, index, queries, k, encoder, exclude_self=True)
+    prompts = materialize(pr.rag_prompts(neighbours, items.select("query_id", "summary")), "prompts")
+    scored = materialize(completions.complete(prompts, store, generator, model), "scored")
+    done = materialize(results(generate.predict(scored), items), "results")
+    return Evaluation(done, prompts.join(scored.select("query_id", "llm_output"), "query_id"))
+
+
+def write_files(e: Evaluation, path: str) -> list[str]:
+    """SNK-02..04: results as JSON lines and CSV, prompts of the queries that were answered; returns what was written."""
+    rows = e.results.select("summary", "description", "expected", "predicted", "is_correct", "llm_output")
+    answered = e.prompts.where(F.col("llm_output").isNotNull()).select("query_id", "prompt")
+    written = {"results.jsonl": sinks.write_jsonl(rows, f"{path}/results.jsonl"), "results.csv": sinks.write_csv(rows, f"{path}/results.csv"),
+               "prompts.jsonl": sinks.write_prompts(answered, f"{path}/prompts.jsonl")}
+    return [name for name, done in written.items() if done]
 
 
 def results(predicted: DataFrame, testset: DataFrame) -> DataFrame:
@@ -67,12 +103,14 @@ def labels(res: DataFrame) -> DataFrame:
 
 
 def confusion_wide(res: DataFrame) -> DataFrame:
-    """AGG-22: rows = expected classes, columns = sorted expected union predicted, 0 when no pair."""
-    lab = labels(res)
-    if row_count_at_most(lab, MAX_LABELS) is None:
-        raise ValueError("too many distinct labels for a wide confusion matrix")
-    values = [r["label"] for r in lab.collect()]
-    wide = confusion_long(res).groupBy("expected").pivot("predicted", values).agg(F.first("count"))
+    """AGG-22: rows = expected classes, columns = sorted expected union predicted, 0 when no pair.
+
+    Its width is the number of labels, so the labels reach the driver: they are the
+    classes of one evaluation. ``confusion_long`` has the same counts whatever their number.
+    """
+    counts = materialize(confusion_long(res), "confusion")   # pairs of classes, used twice
+    values = [r["label"] for r in labels(counts).collect()]
+    wide = counts.groupBy("expected").pivot("predicted", values).agg(F.first("count"))
     # zeros are filled by position, not by name: labels that differ only by case
     # ("Task", "task") are distinct classes but ambiguous names for Spark's
     # case-insensitive resolution
@@ -97,11 +135,7 @@ def ordered_report(res: DataFrame) -> DataFrame:
     """SORT-05: per-class lines in alphabetical order of the class, with their position.
 
     The window has no partition key on purpose: its input is one row per class
-    (the class set, checked below), not the data.
+    (the classes), not the data.
     """
-    from pyspark.sql import Window
-
     b = by_class(res)
-    if row_count_at_most(b, MAX_LABELS) is None:
-        raise ValueError("too many classes for an ordered report")
     return b.withColumn("position", F.row_number().over(Window.orderBy("expected")))

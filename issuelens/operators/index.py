@@ -1,8 +1,8 @@
 """The vector index as one table: (repo, issue_key, text, issuetype, embedding).
 
-Vector and metadata share a row, so there is no positional join and a single
-append commits both (SNK-05, SET-04). ``check_index`` is the load-time
-consistency rule (SNK-06).
+Vector and metadata share a row, so there is no positional join. ``search.py`` keeps
+an index as commits (SNK-05, SET-04) and opens it behind a guard (SNK-06);
+``check_index`` states the consistency of index rows themselves.
 """
 
 from __future__ import annotations
@@ -40,11 +40,6 @@ def pending(issues: DataFrame, index: DataFrame, key: str = "key") -> DataFrame:
     return issues.join(have.select(*on), on, "left_anti")
 
 
-def append_to_index(new_rows: DataFrame, path: str) -> None:
-    """SET-04 / SNK-05: bag union by append; one write commits vector and metadata."""
-    new_rows.write.mode("append").parquet(path)
-
-
 def check_index(index: DataFrame) -> DataFrame:
     """SNK-06: one row of counts; ``consistent`` is false when the index must be rebuilt."""
     s = index.agg(
@@ -56,11 +51,3 @@ def check_index(index: DataFrame) -> DataFrame:
     )
     return s.withColumn("consistent", (F.col("rows") > 0) & (F.col("rows") == F.col("keys"))
                         & (F.col("null_vectors") == 0) & (F.col("min_dim") == F.col("max_dim")))
-
-
-def require_consistent(index: DataFrame) -> DataFrame:
-    """Fail loudly (one small aggregate row reaches the driver) instead of loading a bad index."""
-    row = check_index(index).first()
-    if not row["consistent"]:
-        raise ValueError(f"index needs a rebuild: {row.asDict()}")
-    return index

@@ -6,15 +6,22 @@ rows per query and block of corpus rows, ties at the k-th place cut by key. The
 ``row_number() <= k`` window on (similarity desc, key asc), which Spark runs as a
 ``WindowGroupLimit`` before and after the shuffle on ``query_id``.
 
+Block products only choose candidates, with a margin for their rounding; the similarity
+of a candidate is then summed once more in the order of its dimensions. So a pair has
+the same similarity in every plan and with every block size, and ties are the same ties.
+
 Two physical strategies:
 
-* ``broadcast`` - the query set is proven small (counted against a bound), its
-  matrix is broadcast once and every corpus partition is scanned by
+* ``broadcast`` - the query set is proven small (read once, up to a bound), its
+  matrix is broadcast and every corpus partition is scanned by
   ``mapInPandas``. The corpus is never shuffled.
 * ``blocked`` - for query sets of any size: queries and corpus are hashed into
   blocks, each block is replicated to the blocks of the other side, and
   ``cogroup(...).applyInPandas`` computes one block pair per group. Group size is
   bounded by the block size, whatever the data size or key skew.
+
+``cells.py`` searches an index whose rows are grouped around centres and skips the
+groups that cannot hold a neighbour.
 """
 
 from __future__ import annotations
@@ -26,13 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.inspect import row_count_at_most, spread
+from ..plans.inspect import spread
 
 PAIR_SCHEMA = "query_id string, key string, similarity double"
 
 # Queries broadcast as one matrix at most (rows, and bytes of the float64 matrix);
-# above either bound the blocked plan runs.
-MAX_BROADCAST_QUERIES = 50_000
+# above either bound the blocked plan runs, with the same result.
+MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 256 << 20
 # Rows that are left after the cut (k * queries) and broadcast to the metadata at most.
 MAX_BROADCAST_SURVIVORS = 500_000
@@ -40,118 +47,134 @@ MAX_BROADCAST_SURVIVORS = 500_000
 BLOCK_ROWS = 20_000
 # Entries of one similarity tile held in memory (float64): 2^24 = 128 MiB.
 TILE_ENTRIES = 1 << 24
+# Candidates kept in a task before they are cut to k per query again.
+HELD = 1 << 20
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
+def matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
     return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
-def _best(q_ids: np.ndarray, keys: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query, the first k rows by (similarity desc, key asc)."""
-    df = pd.DataFrame({"query_id": q_ids, "key": keys, "similarity": sims})
-    df = df.sort_values(["query_id", "similarity", "key"], ascending=[True, False, True],
-                        kind="mergesort")
-    return df.groupby("query_id", sort=False).head(k)
-
-
-def _candidates(C: np.ndarray, ckeys: np.ndarray, Q: np.ndarray, qids: np.ndarray,
-                k: int, exclude_self: bool):
-    """Rows of C that may be among the top k of each query of Q: at most k each, by (similarity desc, key asc)."""
-    out_q, out_k, out_s = [], [], []
-    b = C.shape[0]
-    if b == 0 or Q.shape[0] == 0:
-        return out_q, out_k, out_s
-    qchunk = max(1, TILE_ENTRIES // max(b, 1))
-    for q0 in range(0, Q.shape[0], qchunk):
-        Qc = Q[q0:q0 + qchunk]
-        ids = qids[q0:q0 + qchunk]
-        S = C @ Qc.T                                  # b x qc
-        if exclude_self:
-            pos = pd.Index(ids).get_indexer(ckeys)    # corpus row -> its own query column
-            rows = np.nonzero(pos >= 0)[0]
-            S[rows, pos[rows]] = -np.inf
-        if b > k:
-            thr = np.partition(S, b - k, axis=0)[b - k]   # k-th largest per query
-            kept = (S >= thr) & np.isfinite(S)
-            if kept.sum() > k * len(ids):                 # ties at the k-th place: the first keys stay
-                order = np.argsort(ckeys, kind="stable")
-                room = k - (S > thr).sum(axis=0)
-                even = S[order] == thr
-                kept[order] &= ~(even & (np.cumsum(even, axis=0) > room))
-            ri, ci = np.nonzero(kept)
-        else:
-            ri, ci = np.nonzero(np.isfinite(S))
-        out_q.append(ids[ci])
-        out_k.append(ckeys[ri])
-        out_s.append(S[ri, ci])
-    return out_q, out_k, out_s
-
-
-def _merge(acc: pd.DataFrame | None, parts, k: int) -> pd.DataFrame | None:
-    q, kk, s = parts
-    if not q:
-        return acc
-    new = _best(np.concatenate(q), np.concatenate(kk), np.concatenate(s), k)
-    return new if acc is None else _best(
-        np.concatenate([acc.query_id.to_numpy(), new.query_id.to_numpy()]),
-        np.concatenate([acc.key.to_numpy(), new.key.to_numpy()]),
-        np.concatenate([acc.similarity.to_numpy(), new.similarity.to_numpy()]), k)
-
-
-def _broadcast_plan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    spark = queries.sparkSession
-    qp = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()).toPandas()
-    qids = qp["query_id"].astype(object).to_numpy()
-    Q = _matrix(qp["embedding"])
-    bc = spark.sparkContext.broadcast((qids, Q))
+class Best:
+    """The k best rows for each query among the rows added so far: by similarity, then smallest key."""
+
+    def __init__(self, Q: np.ndarray, qids: np.ndarray, k: int, exclude_self: bool):
+        self.Q, self.qids, self.k = Q, qids, k
+        self.own = pd.Index(qids) if exclude_self and len(qids) else None
+        self.norms = np.linalg.norm(Q, axis=1) if Q.size else np.zeros(len(qids))
+        self.bound = np.full(len(qids), -np.inf)   # the k-th similarity so far
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, C: np.ndarray, keys: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Rows C with their keys, for the queries at these places (all by default)."""
+        which = np.arange(len(self.qids)) if queries is None else queries
+        usable = np.isfinite(C).all(axis=1)
+        if not usable.all():
+            C, keys = C[usable], keys[usable]
+        if C.shape[0] == 0 or len(which) == 0 or self.k <= 0:
+            return
+        step = max(1, TILE_ENTRIES // C.shape[0])
+        longest = np.sqrt((C * C).sum(axis=1).max())
+        for q0 in range(0, len(which), step):
+            self._tile(C, keys, which[q0:q0 + step], longest)
+        if self.held > max(HELD, 4 * self.k * len(self.qids)):
+            self._cut()
+
+    def _tile(self, C: np.ndarray, keys: np.ndarray, which: np.ndarray, longest: float) -> None:
+        Q = self.Q[which]
+        S = C @ Q.T
+        if self.own is not None:
+            own = self.own.get_indexer(keys)               # corpus row -> its own query
+            place = np.full(len(self.qids), -1)
+            place[which] = np.arange(len(which))
+            rows = np.flatnonzero((own >= 0) & (place[own] >= 0))
+            S[rows, place[own[rows]]] = -np.inf
+        floor = self.bound[which]
+        if C.shape[0] > self.k:
+            floor = np.maximum(floor, np.partition(S, C.shape[0] - self.k, axis=0)[C.shape[0] - self.k])
+        margin = 4e-16 * (C.shape[1] + 2) * self.norms[which] * longest   # rounding of both sums
+        ri, ci = np.nonzero((S >= floor - margin) & np.isfinite(S))
+        sims = (C[ri] * Q[ci]).sum(axis=1)
+        self.parts.append((which[ci], keys[ri], sims))
+        self.held += len(ri)
+
+    def _cut(self) -> None:
+        if not self.parts:
+            return
+        q, key, sim = (np.concatenate(x) for x in zip(*self.parts))
+        _, order_of_key = np.unique(key, return_inverse=True)
+        order = np.lexsort((order_of_key, -sim, q))
+        q = q[order]
+        first = np.searchsorted(q, q, side="left")
+        kept = np.arange(len(q)) - first < self.k
+        order, q = order[kept], q[kept]
+        self.parts, self.held = [(q, key[order], sim[order])], len(q)
+        last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, int)
+        full = np.bincount(q, minlength=len(self.qids))[q[last]] >= self.k if len(q) else np.zeros(0, bool)
+        self.bound[q[last[full]]] = sim[order][last[full]]
+
+    def rows(self) -> pd.DataFrame:
+        self._cut()
+        if not self.parts:
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "key": pd.Series(dtype=object),
+                                 "similarity": pd.Series(dtype=float)})
+        q, key, sim = self.parts[0]
+        return pd.DataFrame({"query_id": self.qids[q], "key": key, "similarity": sim})
+
+
+def small_queries(queries: DataFrame, max_rows: int = MAX_BROADCAST_QUERIES) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, matrix) of the queries if both bounds hold, else None. Reads at most ``max_rows`` + 1 rows, once."""
+    rows = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull()).limit(max_rows + 1).toPandas()
+    Q = matrix(rows["embedding"])
+    if len(rows) > max_rows or Q.nbytes > MAX_BROADCAST_BYTES:
+        return None
+    return rows["query_id"].astype(object).to_numpy(), Q
+
+
+def _broadcast_plan(small: tuple[np.ndarray, np.ndarray], corpus: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    bc = corpus.sparkSession.sparkContext.broadcast(small)
 
     def scan(batches):
-        qids_, Q_ = bc.value
-        acc = None
+        qids, Q = bc.value
+        best = Best(Q, qids, k, exclude_self)
         for pdf in batches:
             pdf = pdf[pdf["embedding"].notna()]
-            C = _matrix(pdf["embedding"])
-            acc = _merge(acc, _candidates(C, pdf["key"].astype(object).to_numpy(), Q_, qids_,
-                                          k, exclude_self), k)
-        if acc is not None and len(acc):
-            yield acc
+            best.add(matrix(pdf["embedding"]), pdf["key"].astype(object).to_numpy())
+        yield best.rows()
 
     return spread(corpus.select("key", "embedding")).mapInPandas(scan, PAIR_SCHEMA)
 
 
-def _blocked_plan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool,
-                  n_queries: int, n_corpus: int, block_rows: int) -> DataFrame:
-    qb = max(1, math.ceil(n_queries / block_rows))
-    cb = max(1, math.ceil(n_corpus / block_rows))
-    q = (queries.select("query_id", F.col("embedding").alias("qvec"))
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    c = (corpus.select("key", F.col("embedding").alias("cvec"))
-         .withColumn("cb", F.pmod(F.xxhash64("key"), F.lit(cb)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+def block_pair(k: int, exclude_self: bool):
+    """Function of one group of queries (query_id, qvec) and one of rows (key, cvec)."""
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         qpdf = qpdf[qpdf["qvec"].notna()]
         cpdf = cpdf[cpdf["cvec"].notna()]
-        Q = _matrix(qpdf["qvec"])
-        qids = qpdf["query_id"].astype(object).to_numpy()
-        ckeys = cpdf["key"].astype(object).to_numpy()
-        C = _matrix(cpdf["cvec"])
-        acc = None
-        step = max(1, TILE_ENTRIES // max(len(qids), 1))
+        C, keys = matrix(cpdf["cvec"]), cpdf["key"].astype(object).to_numpy()
+        best = Best(matrix(qpdf["qvec"]), qpdf["query_id"].astype(object).to_numpy(), k, exclude_self)
+        step = max(1, TILE_ENTRIES // max(len(qpdf), 1))
         for c0 in range(0, C.shape[0], step):
-            acc = _merge(acc, _candidates(C[c0:c0 + step], ckeys[c0:c0 + step], Q, qids,
-                                          k, exclude_self), k)
-        if acc is None:
-            return pd.DataFrame({"query_id": pd.Series(dtype=object),
-                                 "key": pd.Series(dtype=object),
-                                 "similarity": pd.Series(dtype=float)})
-        return acc
+            best.add(C[c0:c0 + step], keys[c0:c0 + step])
+        return best.rows()
+
+    return pair
 
+
+def _blocked_plan(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    qb = max(1, math.ceil(queries.count() / block_rows))
+    cb = max(1, math.ceil(corpus.count() / block_rows))
+    q = (queries.select("query_id", F.col("embedding").alias("qvec"))
+         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
+         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+    c = (corpus.select("key", F.col("embedding").alias("cvec"))
+         .withColumn("cb", F.pmod(F.xxhash64("key"), F.lit(cb)))
+         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     return (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-            .applyInPandas(pair, PAIR_SCHEMA))
+            .applyInPandas(block_pair(k, exclude_self), PAIR_SCHEMA))
 
 
 def rank_top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -173,30 +196,23 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: boo
     """
     if plan not in ("auto", "broadcast", "blocked"):
         raise ValueError(f"unknown plan {plan!r}")
-    n_q = None
-    if plan in ("auto", "broadcast"):
-        first = queries.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
-        dim = first[0] if first else 1
-        bound = max(1, min(max_broadcast_queries, MAX_BROADCAST_BYTES // (8 * max(dim, 1))))
-        n_q = row_count_at_most(queries, bound)
-        if n_q is None and plan == "broadcast":
-            raise ValueError("query set exceeds the broadcast bound")
-    if n_q is not None:
-        pairs = _broadcast_plan(queries, corpus, k, exclude_self)
-        survivors_small = k * n_q <= MAX_BROADCAST_SURVIVORS
+    small = small_queries(queries, max_broadcast_queries) if plan in ("auto", "broadcast") else None
+    if small is None and plan == "broadcast":
+        raise ValueError("query set exceeds the broadcast bound")
+    if small is not None:
+        pairs = _broadcast_plan(small, corpus, k, exclude_self)
     else:
-        n_queries = queries.count()
-        n_corpus = corpus.count()
-        pairs = _blocked_plan(queries, corpus, k, exclude_self, n_queries, n_corpus, block_rows)
-        survivors_small = False
-    top = rank_top_k(pairs, k)
+        pairs = _blocked_plan(queries, corpus, k, exclude_self, block_rows)
+    return with_metadata(rank_top_k(pairs, k), corpus, metadata, small is not None and k * len(small[0]) <= MAX_BROADCAST_SURVIVORS)
+
+
+def with_metadata(top: DataFrame, corpus: DataFrame, metadata, few: bool) -> DataFrame:
+    """JOIN-02: (query_id, rank, key, similarity, *metadata). Where the survivors are proven ``few``,
+    the corpus metadata is streamed past them instead of being shuffled."""
     meta = [m for m in metadata if m in corpus.columns]
     if meta:
         side = corpus.select("key", *meta)
-        # k * |queries| survivors; where they are proven few, the corpus metadata is
-        # streamed past them instead of being shuffled.
-        top = (side.join(F.broadcast(top), "key") if survivors_small
-               else top.join(side, "key"))
+        top = side.join(F.broadcast(top), "key") if few else top.join(side, "key")
     return top.select("query_id", "rank", "key", "similarity", *meta)
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BORN_WINDOW
-from ..plans.inspect import bounded_broadcast
 
 PROFILE_COLUMNS = ["repo", "born", "issues", "dit", "uit", "links", "dlt", "ult", "changes",
                    "changes_per_issue", "up", "comments", "comments_per_issue"]
@@ -124,7 +123,7 @@ def distinct_sets(issues: DataFrame) -> DataFrame:
 
 def with_epic(issues: DataFrame, repos: DataFrame) -> DataFrame:
     """JOIN-04 + PRJ-08: the epic link value read through the source's own field name."""
-    ef = bounded_broadcast(repos.select("repo", "epic_field"))
+    ef = repos.select("repo", "epic_field")
     return issues.join(ef, "repo", "left").withColumn(
         "epic", F.try_element_at(F.col("fields.custom_fields"), F.col("epic_field")))
 
@@ -172,7 +171,7 @@ def earliest(issues: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
 def born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
     """AGG-10: created of the first issue after skipping the source's junk rows."""
     first = earliest(issues, n)
-    skip = bounded_broadcast(repos.select("repo", "born_skip"))
+    skip = repos.select("repo", "born_skip")
     j = first.join(skip, "repo", "left").where(
         F.col("rn") == F.coalesce(F.col("born_skip"), F.lit(0)) + 1)
     return j.select("repo", F.substring("created", 1, 4).alias("born"),
@@ -272,7 +271,7 @@ def flat_counts(issues: DataFrame, counts: DataFrame) -> DataFrame:
 def flat_born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
     """AGG-10 over flat issues (created, key): top-n window, then the skip."""
     first = first_n(issues.select("repo", "key", "created"), n)
-    skip = bounded_broadcast(repos.select("repo", "born_skip"))
+    skip = repos.select("repo", "born_skip")
     return first.join(skip, "repo", "left").where(
         F.col("rn") == F.coalesce(F.col("born_skip"), F.lit(0)) + 1).select(
         "repo", F.substring("created", 1, 4).alias("born"), F.col("created").alias("born_created"))

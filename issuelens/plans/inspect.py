@@ -1,31 +1,8 @@
-"""Plan helpers: size-checked broadcast and plan inspection."""
+"""Plan helpers: inspection and parallelism of Python stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest dimension side we broadcast by hand. Anything above goes to the
-# planner (shuffle join, or AQE's runtime broadcast when statistics allow).
-MAX_BROADCAST_ROWS = 100_000
-
-
-def row_count_at_most(df: DataFrame, bound: int) -> int | None:
-    """Number of rows if it is <= ``bound``, else None (reads at most bound+1 rows).
-
-    Counted every time: files below a path can grow between two queries.
-    """
-    n = df.limit(bound + 1).count()
-    return n if n <= bound else None
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the frame is
-    returned unchanged and the join shuffles on its keys instead.
-    """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) is not None else df
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
@@ -39,11 +16,14 @@ def executed_plan(df: DataFrame) -> str:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the
-    cluster has cores (e.g. one small file), so a CPU-heavy Python stage runs in
-    parallel. A large input already has many scan splits and is left as is: no
-    shuffle of the whole input just to feed a UDF."""
+    """Round-robin repartition of a scan that has fewer splits than the cluster has
+    cores (e.g. one small file), so a CPU-heavy Python stage runs in parallel.
+
+    A large input already has many splits and is left as is: no shuffle of the whole
+    input just to feed a UDF. A plan with a shuffle is left to adaptive execution,
+    which keeps the parallelism of small shuffles; asking such a plan for its number
+    of partitions would run it."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if "Exchange" in executed_plan(df) or df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)

@@ -4,40 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sinks
+from ..functions import prompt as pr
 from ..operators import evaluate as ev
 from ..operators import generate as gn
-from ..functions import prompt as pr
+from ..operators import search
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import testset as ts
 from . import oracle_views as ov
-from .q_retrieval import loo_neighbours
-from .q_text import vector_prompts
+from .q_retrieval import ENCODER, stored_index
+from .q_text import FIRST_TYPED, completion_store
 from .registry import register
 
 W = ov.with_
 
 
-def vector_testset(spark, sf):
-    v = fx.vectors(spark, sf)
-    return v.select(F.col("key").alias("query_id"), "summary", F.lit("").alias("description"),
-                    F.col("issuetype").alias("expected"))
+TESTSET_ROW = "key string, summary string, description string, expected_issuetype string"
+
+
+def written_testset(spark, sf):
+    """The test set as JOB-06 makes it: a slice in order, usable rows, written as JSON lines and read again (SRC-14)."""
+    path = scratch_path(spark, "testset")
+    rows = ts.make_testset(fx.issues_text(spark, sf), skip=ov.TESTSET_SKIP, limit=ov.TESTSET_LIMIT)
+    sinks.write_jsonl(rows.select("key", "summary", "description", "expected_issuetype"), path, skip_empty=False)
+    return sinks.read_jsonl(spark, path, TESTSET_ROW).select(
+        F.col("key").alias("query_id"), "summary", "description", F.col("expected_issuetype").alias("expected"))
 
 
-def eval_results(spark, sf, generator=None):
-    scored = gn.score(vector_prompts(spark, sf), generator or gn.make_generator("nearest"))
-    return ev.results(gn.predict(scored), vector_testset(spark, sf))
+def evaluation(spark, sf) -> ev.Evaluation:
+    """JOB-04 over the stored index; completions that an earlier run has are not asked for again."""
+    return ev.run(spark, written_testset(spark, sf), stored_index(spark, sf), completion_store(spark, sf),
+                  gn.make_generator("nearest"), ENCODER)
+
+
+def eval_results(spark, sf):
+    return evaluation(spark, sf).results
 
 
 # prediction of the nearest-label generator = first neighbour (by rank) with a type
-RES_SQL = W(ov.neighbours(3), """first_typed AS (
-  SELECT query_id, arg_min(issuetype, rank) AS label FROM nn WHERE coalesce(issuetype, '') <> '' GROUP BY query_id)""",
-            """res AS (
-  SELECT v.key AS query_id, v.summary, '' AS description, v.issuetype AS expected,
+NN = ov.text_neighbours(ov.TESTSET)
+RES_SQL = W(NN, FIRST_TYPED, """res AS (
+  SELECT v.query_id, v.summary, v.description, v.expected,
          coalesce(f.label, 'Unknown') AS predicted,
-         lower(coalesce(f.label, 'Unknown')) = lower(v.issuetype) AS is_correct,
+         lower(coalesce(f.label, 'Unknown')) = lower(v.expected) AS is_correct,
          CASE WHEN f.label IS NULL THEN 'Reasoning: no similar tickets were given.'
               ELSE 'Issuetype: ' || f.label || chr(10) || 'Reasoning: most similar historical ticket.' END AS llm_output
-  FROM vectors v LEFT JOIN first_typed f ON f.query_id = v.key)""")
+  FROM testset v LEFT JOIN first_typed f ON f.query_id = v.query_id)""")
 
 
 @register("job_04", RES_SQL + "\nSELECT query_id, expected, predicted, is_correct FROM res")
@@ -94,13 +107,12 @@ def set_03(spark, sf):
     return ev.labels(eval_results(spark, sf))
 
 
-@register("agg_22", RES_SQL + """,
-labs AS (SELECT label FROM (SELECT expected AS label FROM res UNION SELECT predicted FROM res)),
-cl AS (SELECT expected, predicted, count(*) AS n FROM res GROUP BY expected, predicted),
-grid AS (SELECT e.expected, l.label AS predicted, CAST(coalesce(cl.n, 0) AS BIGINT) AS n
-         FROM (SELECT DISTINCT expected FROM res) e CROSS JOIN labs l
-         LEFT JOIN cl ON cl.expected = e.expected AND cl.predicted = l.label)
-PIVOT grid ON predicted USING first(n) GROUP BY expected""")
+# the labels of the fixture are its four languages: the wide matrix has one column for each
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+@register("agg_22", RES_SQL + "\nSELECT expected, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE predicted = '{x}') AS BIGINT) AS {x}" for x in LANGUAGES) + " FROM res GROUP BY expected")
 def agg_22(spark, sf):
     return ev.confusion_wide(eval_results(spark, sf))
 
@@ -114,18 +126,19 @@ class ContextOnlyGenerator(gn.NearestLabelGenerator):
         return super().generate(prompt, max_new_tokens, system_prompt)
 
 
-@register("scl_03", W(ov.neighbours(3), """first_typed AS (
-  SELECT query_id, arg_min(issuetype, rank) AS label FROM nn WHERE coalesce(issuetype, '') <> '' GROUP BY query_id)""") + """
+@register("scl_03", W(NN, FIRST_TYPED) + """
 SELECT t.key AS query_id, coalesce(f.label, 'ERROR_QUERY_FAILED') AS predicted,
        CASE WHEN f.label IS NULL THEN 'ERROR: Query command failed or returned None'
             ELSE 'Issuetype: ' || f.label || chr(10) || 'Reasoning: most similar historical ticket.' END AS llm_output,
        f.label IS NOT NULL AND lower(f.label) = lower(t.issuetype) AS is_correct
 FROM issues_text t LEFT JOIN first_typed f ON f.query_id = t.key""")
 def scl_03(spark, sf):
-    """Every document is a query; those with no neighbours make the generator fail."""
+    """Every document is an item; only those of the test set were searched for, so the generator fails on the others."""
     q = fx.issues_text(spark, sf).select(F.col("key").alias("query_id"), "summary", "description",
                                          F.col("issuetype").alias("expected"))
-    prompts = pr.rag_prompts(loo_neighbours(spark, sf), q.select("query_id", "summary"))
+    neighbours = search.search(spark, stored_index(spark, sf), written_testset(spark, sf).select("query_id", "summary"),
+                               3, ENCODER, exclude_self=True, text="summary")
+    prompts = pr.rag_prompts(neighbours, q.select("query_id", "summary"))
     pred = gn.predict(gn.score(prompts, ContextOnlyGenerator()))
     r = ev.results(pred, q)
     return r.select("query_id", "predicted", "llm_output", "is_correct")

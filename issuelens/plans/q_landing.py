@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import sinks
-from ..functions.embedding import HashingEncoder
 from ..functions.vectors import l2_norm
 from ..operators import comments as cm
+from ..operators import evaluate as ev
 from ..operators import index as ix
+from ..operators import search
+from ..operators import snapshot as sn
 from ..operators.profile import size0
 from ..session import scratch_path
 from ..sources import catalogs as cg
@@ -19,9 +21,9 @@ from ..sources import landing as ld
 from ..sources import testset as ts
 from ..sources.tables import table
 from . import oracle_views as ov
-from .q_evaluation import eval_results
-from .q_text import vector_prompts
-from .inspect import bounded_broadcast
+from .q_evaluation import NN, evaluation
+from .q_retrieval import ENCODER
+from .q_text import BLOCKS_CTE, prompt_sql
 from .registry import register
 
 W = ov.with_
@@ -49,7 +51,7 @@ FROM tracker t LEFT JOIN (SELECT key, count(*) AS n FROM links GROUP BY key) l O
 def src_04(spark, sf):
     i = landed_issues(spark, sf)
     r = fx.repos(spark, sf).select("repo", "epic_field")
-    j = i.join(bounded_broadcast(r), "repo", "left")
+    j = i.join(r, "repo", "left")
     return j.select("repo", "key", F.col("fields.created").alias("created"),
                     F.col("fields.issuetype.name").alias("issuetype"),
                     F.col("fields.project.name").alias("project"),
@@ -209,17 +211,14 @@ def src_02(spark, sf):
                                             F.coalesce("description", F.lit(""))).alias("text"))
 
 
-def _two_step_index(spark, sf):
-    """Index the labelled documents first, then append what is still missing."""
+def _two_step_index(spark, sf) -> str:
+    """Index the labelled documents first, then all: the second commit adds what is still missing."""
     path = scratch_path(spark, "index")
     docs = fx.issues_doc(spark, sf)
     lab = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"))
-    first = docs.join(lab, "key", "left_semi")
-    ix.append_to_index(ix.build_index(first, HashingEncoder(64)), path)
-    have = spark.read.parquet(path)
-    rest = ix.pending(docs, have)
-    ix.append_to_index(ix.build_index(rest, HashingEncoder(64)), path)
-    return spark.read.parquet(path)
+    search.add(spark, path, docs.join(lab, "key", "left_semi"), ENCODER, batch="labelled")
+    search.add(spark, path, docs, ENCODER, batch="all")
+    return path
 
 
 _ALL_INDEX_SQL = W(ov.ISSUES_TEXT) + """
@@ -228,21 +227,24 @@ SELECT key AS issue_key, issuetype, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM
 
 @register("snk_05", _ALL_INDEX_SQL)
 def snk_05(spark, sf):
-    idx = _two_step_index(spark, sf)
+    _, idx, _ = search.open_index(spark, _two_step_index(spark, sf))
     return idx.select("issue_key", "issuetype", F.size("embedding").alias("dim"),
                       F.round(l2_norm("embedding"), 4).alias("norm"))
 
 
-@register("set_04", W(ov.ISSUES_TEXT) + "\nSELECT key AS issue_key, issuetype FROM issues_text")
+@register("set_04", W(ov.ISSUES_TEXT) + """
+SELECT key AS issue_key, issuetype, coalesce(summary, '') || ' ' || coalesce(description, '') AS text FROM issues_text""")
 def set_04(spark, sf):
-    return _two_step_index(spark, sf).select("issue_key", "issuetype")
+    return sn.read(spark, _two_step_index(spark, sf)).select("issue_key", "issuetype", "text")
 
 
 @register("snk_06", W(ov.ISSUES_TEXT) + """
 SELECT count(*) AS rows, count(DISTINCT key) AS keys, CAST(0 AS BIGINT) AS null_vectors,
        64 AS min_dim, 64 AS max_dim, TRUE AS consistent FROM issues_text""")
 def snk_06(spark, sf):
-    return ix.check_index(_two_step_index(spark, sf))
+    """Opened through the guard, which compares the store with its manifest and its ledger."""
+    _, idx, _ = search.open_index(spark, _two_step_index(spark, sf))
+    return ix.check_index(idx)
 
 
 # ------------------------------------------------------------- definitions
@@ -317,8 +319,11 @@ def src_14(spark, sf):
 _RESULT_COLS = ["summary", "description", "expected", "predicted", "is_correct", "llm_output"]
 
 
-def _results(spark, sf):
-    return eval_results(spark, sf).select(*_RESULT_COLS)
+def _written(spark, sf) -> str:
+    """Folder with the files of one evaluation."""
+    path = scratch_path(spark, "evaluation")
+    ev.write_files(evaluation(spark, sf), path)
+    return path
 
 
 def _res_sql():
@@ -328,24 +333,19 @@ def _res_sql():
 
 @register("snk_02", _res_sql())
 def snk_02(spark, sf):
-    path = scratch_path(spark, "results-json")
-    sinks.write_jsonl(_results(spark, sf), path)
-    return sinks.read_jsonl(spark, path, S.EVAL_RESULT)
+    return sinks.read_jsonl(spark, f"{_written(spark, sf)}/results.jsonl", S.EVAL_RESULT)
 
 
 @register("snk_03", _res_sql())
 def snk_03(spark, sf):
-    path = scratch_path(spark, "results-csv")
-    sinks.write_csv(_results(spark, sf), path)
-    return sinks.read_csv(spark, path, S.EVAL_RESULT)
+    return sinks.read_csv(spark, f"{_written(spark, sf)}/results.csv", S.EVAL_RESULT)
 
 
-@register("snk_04", W(ov.neighbours(3)) + """
-SELECT key AS query_id FROM vectors""")
+@register("snk_04", W(NN, BLOCKS_CTE) + f"""
+SELECT t.query_id, {prompt_sql('t.summary', 'b.blocks')} AS prompt
+FROM testset t LEFT JOIN blocks b ON b.query_id = t.query_id""")
 def snk_04(spark, sf):
-    path = scratch_path(spark, "prompts")
-    sinks.write_prompts(vector_prompts(spark, sf), path)
-    return sinks.read_jsonl(spark, path, "query_id string, prompt string").select("query_id")
+    return sinks.read_jsonl(spark, f"{_written(spark, sf)}/prompts.jsonl", "query_id string, prompt string")
 
 
 @register("snk_08", W(ov.TRACKER) + "\nSELECT repo, key, issuetype FROM tracker")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import profile as pf
-from .inspect import bounded_broadcast
 from ..sources import catalogs as cg
 from ..sources import fixtures as fx
 from . import oracle_views as ov
@@ -380,6 +379,6 @@ def src_13(spark, sf):
     m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
     used = m.where((F.col("kind") == "uit") & F.col("name").isNotNull()).select("name").distinct()
     cls = cg.allowed_classes(spark).select("name", "position")
-    j = used.join(bounded_broadcast(cls), "name", "left")
+    j = used.join(cls, "name", "left")
     return j.select(F.col("name").alias("issuetype"), F.col("position").isNotNull().alias("allowed"),
                     "position")

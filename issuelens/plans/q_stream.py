@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.embedding import HashingEncoder
+from ..operators import search
 from ..session import scratch_path
 from ..sources import tables
 from ..streaming import incremental as inc
@@ -13,7 +14,8 @@ from .registry import register
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
-_SQL = ov.with_(ov.ISSUES_TEXT) + "\nSELECT key AS issue_key, issuetype FROM issues_text"
+_SQL = ov.with_(ov.ISSUES_TEXT) + """
+SELECT key AS issue_key, issuetype, coalesce(summary, '') || ' ' || coalesce(description, '') AS text FROM issues_text"""
 
 
 def _run(spark, src, glob=None, max_files=None, checkpoint=None, index=None):
@@ -34,7 +36,7 @@ def str_01(spark, sf):
     index, ckpt, _ = _run(spark, sf, glob="documents.parquet")
     _run(spark, sf, glob="documents.parquet", checkpoint=ckpt, index=index)
     _run(spark, sf, glob="documents.parquet", index=index)
-    return spark.read.parquet(index).select("issue_key", "issuetype")
+    return search.open_index(spark, index)[1].select("issue_key", "issuetype", "text")
 
 
 @register("str_02", _SQL)
@@ -44,4 +46,4 @@ def str_02(spark, sf):
     docs = tables.table(spark, sf, "documents")
     docs.repartition(4, F.col("doc_id")).write.parquet(landed)
     index, _, q = _run(spark, landed, max_files=1)
-    return spark.read.parquet(index).select("issue_key", "issuetype")
+    return search.open_index(spark, index)[1].select("issue_key", "issuetype", "text")

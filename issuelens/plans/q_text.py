@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import prompt as pr
 from ..functions import text as tx
+from ..operators import completions as cp
 from ..operators import generate as gn
 from ..sources import catalogs as cg
 from ..sources import fixtures as fx
 from . import oracle_views as ov
-from .q_retrieval import loo_neighbours
+from .q_retrieval import benchmark_queries, stored_index, text_neighbours
 from .registry import register
 
 W = ov.with_
@@ -40,42 +41,46 @@ def prompt_sql(summary_expr: str, blocks_expr: str) -> str:
             f"{sql_str(K.PROMPT_CLASSES_HEAD + pr.class_list_text())} || {sql_str(K.PROMPT_TAIL)}")
 
 
-def vector_queries(spark, sf):
-    v = fx.vectors(spark, sf)
-    return v.select(F.col("key").alias("query_id"), "summary")
+NN = ov.text_neighbours(ov.BENCHMARK)
 
 
-def vector_prompts(spark, sf):
-    return pr.rag_prompts(loo_neighbours(spark, sf), vector_queries(spark, sf))
+def completion_store(spark, sf) -> str:
+    """Path of the completions, beside the index of the same table."""
+    return stored_index(spark, sf) + "-completions"
 
 
-@register("job_03", W(ov.neighbours(3), BLOCKS_CTE) + f"""
-SELECT v.key AS query_id, {prompt_sql('v.summary', 'b.blocks')} AS prompt
-FROM vectors v LEFT JOIN blocks b ON b.query_id = v.key""")
+def text_prompts(spark, sf):
+    return pr.rag_prompts(text_neighbours(spark, sf), benchmark_queries(spark, sf))
+
+
+@register("job_03", W(NN, BLOCKS_CTE) + f"""
+SELECT t.query_id, {prompt_sql('t.summary', 'b.blocks')} AS prompt
+FROM testset t LEFT JOIN blocks b ON b.query_id = t.query_id""")
 def job_03(spark, sf):
-    return vector_prompts(spark, sf)
+    return text_prompts(spark, sf)
 
 
-@register("agg_23", W(ov.neighbours(3), BLOCKS_CTE) + "\nSELECT query_id, blocks FROM blocks")
+@register("agg_23", W(NN, BLOCKS_CTE) + "\nSELECT query_id, blocks FROM blocks")
 def agg_23(spark, sf):
-    return pr.neighbour_text(loo_neighbours(spark, sf))
+    return pr.neighbour_text(text_neighbours(spark, sf))
 
 
-@register("scl_15", W(ov.neighbours(3)) + f"\nSELECT query_id, rank, {BLOCK_SQL} AS block FROM nn")
+@register("scl_15", W(NN) + f"\nSELECT query_id, rank, {BLOCK_SQL} AS block FROM nn")
 def scl_15(spark, sf):
-    n = loo_neighbours(spark, sf)
+    n = text_neighbours(spark, sf)
     return n.select("query_id", "rank", pr.neighbour_block(
         F.col("rank"), F.col("key"), F.col("similarity"), F.col("text"), F.col("issuetype")).alias("block"))
 
 
-@register("scl_16", W(ov.neighbours(3), BLOCKS_CTE) + f"""
-SELECT t.key AS query_id, {prompt_sql('t.summary', 'b.blocks')} AS prompt
-FROM issues_text t LEFT JOIN blocks b ON b.query_id = t.key""")
+@register("scl_16", W(NN, BLOCKS_CTE) + f"""
+SELECT t.query_id, {prompt_sql('t.summary', 'b.blocks')} AS prompt
+FROM (SELECT query_id, summary FROM testset UNION ALL SELECT key, summary FROM issues_text) t
+     LEFT JOIN blocks b ON b.query_id = t.query_id""")
 def scl_16(spark, sf):
-    """Prompts for every document; documents without an indexed vector get the
-    "No similar historical tickets" branch."""
+    """Prompts for every benchmark text and every document; nothing was searched for the
+    documents, so they get the "No similar historical tickets" branch."""
     q = fx.issues_text(spark, sf).select(F.col("key").alias("query_id"), "summary")
-    return pr.rag_prompts(loo_neighbours(spark, sf), q)
+    return pr.rag_prompts(text_neighbours(spark, sf), benchmark_queries(spark, sf).unionByName(q))
 
 
 @register("scl_14", """
@@ -87,20 +92,24 @@ def scl_14(spark, sf):
     return c.select("repo", "name", pr.class_line(F.col("name"), F.col("inward")).alias("line"))
 
 
-_ANSWER = "'Issuetype: ' || issuetype || chr(10) || 'Reasoning: most similar historical ticket.'"
+# the nearest-label generator answers with the type of the first neighbour that has one
+FIRST_TYPED = """first_typed AS (
+  SELECT query_id, arg_min(issuetype, rank) AS label FROM nn WHERE coalesce(issuetype, '') <> '' GROUP BY query_id)"""
+_ANSWER = "'Issuetype: ' || label || chr(10) || 'Reasoning: most similar historical ticket.'"
 
 
-@register("udf_02", W(ov.neighbours(3)) + f"""
-SELECT query_id, {_ANSWER} AS llm_output, CAST(NULL AS VARCHAR) AS error FROM nn WHERE rank = 1""")
+@register("udf_02", W(NN, FIRST_TYPED) + f"""
+SELECT query_id, {_ANSWER} AS llm_output, CAST(NULL AS VARCHAR) AS error FROM first_typed""")
 def udf_02(spark, sf):
-    return gn.score(vector_prompts(spark, sf), gn.make_generator("nearest"))
+    """Each prompt is sent once: answers come from the store of completions."""
+    return cp.complete(text_prompts(spark, sf), completion_store(spark, sf), gn.make_generator("nearest"))
 
 
-@register("scl_19", W(ov.neighbours(3)) + f"""
-SELECT query_id, {_ANSWER} AS completion FROM nn WHERE rank = 1""")
+@register("scl_19", W(NN, FIRST_TYPED) + f"""
+SELECT query_id, {_ANSWER} AS completion FROM first_typed""")
 def scl_19(spark, sf):
     """A local model echoes the prompt before its answer; keep what follows it."""
-    p = vector_prompts(spark, sf)
+    p = text_prompts(spark, sf)
     s = gn.score(p, gn.make_generator("nearest"))
     echoed = p.join(s, "query_id").select(
         "query_id", "prompt", F.concat(F.col("prompt"), F.lit("\n  "), F.col("llm_output")).alias("gen"))
@@ -110,7 +119,7 @@ def scl_19(spark, sf):
 @register("scl_17", W(ov.VECTORS) + """
 SELECT key AS query_id, 2 AS n_messages, 'system' AS first_role, 'user' AS last_role FROM vectors""")
 def scl_17(spark, sf):
-    p = vector_queries(spark, sf)
+    p = fx.vectors(spark, sf).select(F.col("key").alias("query_id"), "summary")
     m = tx.chat_messages(F.col("summary"), "You classify tickets.")
     return p.select("query_id", m.alias("m")).select(
         "query_id", F.size("m").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"),
@@ -151,11 +160,11 @@ def scl_01(spark, sf):
     return o.select("key", tx.extract_issuetype("llm_output").alias("predicted"))
 
 
-@register("scl_11", W(ov.neighbours(3)) + """
+@register("scl_11", W(NN) + """
 SELECT query_id, rank, printf('%.4f', similarity) AS sim_text,
        printf('%.2f', round(similarity * 100, 2)) || '%' AS sim_percent FROM nn""")
 def scl_11(spark, sf):
-    n = loo_neighbours(spark, sf)
+    n = text_neighbours(spark, sf)
     return n.select("query_id", "rank", tx.fixed(F.col("similarity"), 4).alias("sim_text"),
                     tx.percent(F.round(F.col("similarity") * 100, 2) / 100).alias("sim_percent"))
 

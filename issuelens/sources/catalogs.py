@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.inspect import bounded_broadcast
 from .tables import table
 
 TYPE_ITEM = "struct<id:string,name:string,description:string>"
@@ -84,12 +83,12 @@ def read_json_text(spark: SparkSession, path: str) -> DataFrame:
 
 def with_theme(issues: DataFrame, themes: DataFrame) -> DataFrame:
     """JOIN-05: (repo, issuetype) -> theme, code; unmatched -> null."""
-    return issues.join(bounded_broadcast(themes), ["repo", "issuetype"], "left")
+    return issues.join(themes, ["repo", "issuetype"], "left")
 
 
 def with_link_type(links: DataFrame, mapping: DataFrame, col: str = "link_type") -> DataFrame:
     """JOIN-06: canonical link type, case-sensitive, raw name when unmapped."""
-    m = bounded_broadcast(mapping.withColumnRenamed("raw", col))
+    m = mapping.withColumnRenamed("raw", col)
     return links.join(m, col, "left").withColumn(
         "canonical", F.coalesce(F.col("canonical"), F.col(col)))
 

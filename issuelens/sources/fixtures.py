@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.inspect import bounded_broadcast
 from ..session import materialize
 from ..schemas import ISSUE
 from .tables import table
@@ -91,8 +90,8 @@ def tracker_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with their region (repo) and segment (project); one row per issue."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    r = bounded_broadcast(table(spark, sf_dir, "region"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf_dir, "region")
     return (o.join(c, o.o_custkey == c.c_custkey)
              .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
              .join(r, F.col("n_regionkey") == F.col("r_regionkey")))

@@ -3,65 +3,47 @@
 A file-source stream over landed issue files, processed with
 ``trigger(availableNow=True)``: every run takes what arrived since the last
 checkpoint, in batches bounded by ``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
-Each micro-batch is embedded and appended to the index table inside
-``foreachBatch``, after a ``left_anti`` join on tracker and key against the index, so
-a replayed batch (crash between write and commit) or a fresh checkpoint adds
-nothing twice; an issue that a batch holds twice is added once. Identity is tracker
-and key, not an offset (fixes the reference's resume-by-count). Issues whose text
-the encoder fails on are kept in a table of rejects beside the index, and
+Each micro-batch is one commit of the index store (``operators.search.add``): index rows,
+rejects and the batch's row counts appear together or not at all. The ledger of the
+store knows a batch by the checkpoint's id and its number, so a batch that is replayed after
+a crash between commit and checkpoint is recognised without reading its data. A fresh
+checkpoint has another id: its batches are read, and a ``left_anti`` join on tracker and
+key keeps what is indexed from being added twice. An issue that a batch holds twice is
+added once. Identity is tracker and key, not an offset (fixes the reference's
+resume-by-count). Issues whose text the encoder fails on are rejects of the store, and
 ``retry_rejected`` encodes them again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.embedding import embed
-from ..operators.index import encode_issues, pending
-from ..session import materialize
-from ..sources.issues import same_issue
-
-
-def _index_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.getPath().getName().endswith(".parquet")
-                                for s in fs.listStatus(p))
-
+from ..operators import search
+from ..sources import files
 
-def rejects_path(index_path: str) -> str:
-    return f"{index_path.rstrip('/')}-rejected"
 
-
-def index_batch(batch: DataFrame, index_path: str, encoder=None) -> None:
-    """Append the issues of ``batch`` that are not in the index yet; those whose text fails go to the rejects."""
-    spark = batch.sparkSession
-    if _index_exists(spark, index_path):
-        # anti join before encoding: rows already indexed are never embedded again
-        batch = pending(batch, spark.read.parquet(index_path))
-    batch = batch.dropDuplicates(same_issue(batch))
-    encoded = materialize(encode_issues(batch, encoder), "encoded")   # encoded once for both tables
-    failed = F.col("embedding").isNull()
-    # rejects first: a crash between the two writes replays the batch and loses nothing
-    encoded.where(failed).drop("embedding").write.mode("append").parquet(rejects_path(index_path))
-    encoded.where(~failed).write.mode("append").parquet(index_path)
+def index_batch(batch: DataFrame, index_path: str, encoder=None, name: str | None = None) -> None:
+    """Commit the issues of ``batch`` that are not in the index yet; ``name`` is the batch's entry in the ledger."""
+    search.add(batch.sparkSession, index_path, batch, encoder, name)
 
 
 def rejected(spark: SparkSession, index_path: str) -> DataFrame:
     """Issues whose text the encoder failed on and that no later run has indexed, once each."""
-    lost = spark.read.parquet(rejects_path(index_path))
-    lost = lost.dropDuplicates([c for c in ("repo", "issue_key") if c in lost.columns])
-    return pending(lost, spark.read.parquet(index_path), key="issue_key")
+    return search.rejected(spark, index_path)
 
 
 def retry_rejected(spark: SparkSession, index_path: str, encoder=None) -> None:
-    """Encode the rejects again and append those that succeed now."""
-    done = materialize(embed(rejected(spark, index_path), "text", encoder=encoder), "retried")
-    columns = spark.read.parquet(index_path).columns
-    done.where(F.col("embedding").isNotNull()).select(*columns).write.mode("append").parquet(index_path)
+    """Encode the rejects again and commit those that succeed now."""
+    search.retry_rejected(spark, index_path, encoder)
+
+
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave to the stream of this checkpoint folder."""
+    return json.loads(files.read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
 
 
 def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructType | str,
@@ -85,7 +67,7 @@ def index_incrementally(spark: SparkSession, source_path: str, schema: T.StructT
         stream = prepare(stream)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch, index_path, encoder)
+        index_batch(batch, index_path, encoder, f"{checkpoint_id(spark, checkpoint)}:{batch_id}")
 
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

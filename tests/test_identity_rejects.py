@@ -67,7 +67,10 @@ def test_ties_are_cut_by_key_inside_a_block():
         corpus, queries = rng.integers(-1, 2, (40, 3)).astype(float), rng.integers(-1, 2, (6, 3)).astype(float)
         keys = np.array([f"k{i:02d}" for i in rng.permutation(40)], object)
         ids = np.array([f"q{i}" for i in range(6)], object)
-        got = [np.concatenate(x) for x in nb._candidates(corpus, keys, queries, ids, 3, False)]
+        best = nb.Best(queries, ids, 3, False)
+        for part in np.array_split(np.arange(40), 3):
+            best.add(corpus[part], keys[part])
+        got = [best.rows()[c].to_numpy() for c in ("query_id", "key", "similarity")]
         assert len(got[0]) == 18
         for q in range(6):
             best = sorted(zip(-(corpus @ queries[q]), keys))[:3]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from issuelens.functions.embedding import HashingEncoder
 from issuelens.operators import comments as cm
 from issuelens.operators import index as ix
+from issuelens.operators import neighbours as nb
 from issuelens.operators import profile as pf
 from issuelens.plans.inspect import plan_text
 from issuelens.schemas import ISSUE
@@ -47,8 +48,8 @@ def test_encoder_runs_once_per_row(spark):
 
 
 def test_neighbour_plan_is_bounded(spark):
-    from issuelens.plans.q_retrieval import loo_neighbours
-    plan = plan_text(loo_neighbours(spark, SF_SMALL))
+    v = fx.vectors(spark, SF_SMALL)
+    plan = plan_text(nb.similar(v.select(F.col("key").alias("query_id"), "embedding"), v, exclude_self=True))
     assert "WindowGroupLimit" in plan and "MapInPandas" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
