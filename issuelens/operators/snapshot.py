@@ -25,6 +25,7 @@ from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import files
@@ -67,6 +68,11 @@ def table_path(root: str, table: str = MAIN) -> str:
     return root if table == MAIN else f"{root}-{table}"
 
 
+def part_path(root: str, table: str, part: Part) -> str:
+    """A folder that starts with / lies below the root whatever its table (``write_split``)."""
+    return root.rstrip("/") + part.folder if part.folder.startswith("/") else f"{table_path(root, table)}/{part.folder}"
+
+
 def _manifests(root: str) -> str:
     return f"{root.rstrip('/')}/_manifests"
 
@@ -95,7 +101,7 @@ def read(spark: SparkSession, root: str, table: str = MAIN, snapshot: Snapshot |
     if table not in held.schemas:
         raise ValueError(f"{table_path(root, table)} has no committed rows; build it first")
     schema = T.StructType.fromJson(json.loads(held.schemas[table]))
-    folders = [f"{table_path(root, table)}/{p.folder}" for p in held.parts[table]]
+    folders = [part_path(root, table, p) for p in held.parts[table]]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -107,7 +113,7 @@ def verify(spark: SparkSession, root: str, snapshot: Snapshot | None = None) ->
     held = snapshot or latest(spark, root)
     for table, parts in held.parts.items():
         for p in parts:
-            at = f"{table_path(root, table)}/{p.folder}"
+            at = part_path(root, table, p)
             found = files.size(spark, at)
             if found != (p.files, p.bytes):
                 raise Torn(f"{at} holds {found}, its manifest says {(p.files, p.bytes)}; build it again")
@@ -125,6 +131,29 @@ def write_part(df: DataFrame, root: str, table: str = MAIN) -> Part:
     return Part(folder, found.files, found.bytes, spark.read.schema(df.schema).parquet(at).count())
 
 
+def write_split(df: DataFrame, root: str, by: list[str]) -> dict[tuple[str, ...], Part]:
+    """The rows in one pass as a new folder, split by the values of ``by`` (text without / or =); a part for each value.
+
+    The split columns are not in the files. Parts are of no snapshot yet.
+    """
+    spark, commit = df.sparkSession, f"/commit={uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(f"{root.rstrip('/')}{commit}")
+    schema = T.StructType([f for f in df.schema if f.name not in by])
+    folders = [(commit, ())]
+    for column in by:
+        folders = [(f"{at}/{name}", (*values, name.split("=", 1)[1])) for at, values in folders
+                   for name in files.names(spark, root.rstrip("/") + at) if name.startswith(f"{column}=")]
+    # rows of all folders in one job, from the footers
+    place = F.regexp_extract("_metadata.file_path", f"({commit}/.*)/[^/]*$", 1)
+    written = spark.read.schema(schema).parquet(*[root.rstrip("/") + at for at, _ in folders]) if folders else None
+    rows = {r.at: r.n for r in written.groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()} if folders else {}
+    out = {}
+    for at, values in folders:
+        found = files.size(spark, root.rstrip("/") + at)
+        out[values] = Part(at, found.files, found.bytes, rows[at])
+    return out
+
+
 def publish(spark: SparkSession, root: str, snapshot: Snapshot) -> Snapshot:
     path = f"{_manifests(root)}/{snapshot.version:010d}.json"
     text = json.dumps({"version": snapshot.version, "schemas": snapshot.schemas, "batches": snapshot.batches,
@@ -180,11 +209,12 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     Only for a store that no one is writing to, and no one reads an older version of.
     """
     held = latest(spark, root)
+    commits = lambda path: path[:path.index("/", path.rindex("commit="))] if "/" in path[path.rindex("commit="):] else path
+    keep = {commits(part_path(root, t, p)) for t, parts in held.parts.items() for p in parts}
     gone = []
-    for table, parts in held.parts.items():
-        keep = {p.folder for p in parts}
-        for name in files.names(spark, table_path(root, table)):
-            if name.startswith("commit=") and name not in keep:
-                files.remove(spark, f"{table_path(root, table)}/{name}")
-                gone.append(f"{table_path(root, table)}/{name}")
+    for at in {root.rstrip("/"), *(table_path(root, t) for t in held.parts)}:
+        for name in files.names(spark, at):
+            if name.startswith("commit=") and f"{at}/{name}" not in keep:
+                files.remove(spark, f"{at}/{name}")
+                gone.append(f"{at}/{name}")
     return gone

@@ -10,6 +10,8 @@ from ..functions.vectors import l2_norm
 from ..operators import comments as cm
 from ..operators import evaluate as ev
 from ..operators import index as ix
+from ..operators import landed as dl
+from ..operators import requests as rq
 from ..operators import search
 from ..operators import snapshot as sn
 from ..operators.profile import size0
@@ -38,9 +40,13 @@ PLAN_SQL = """plan AS (
 
 # ------------------------------------------------------------------ landing
 
-def landed_issues(spark, sf):
-    issues, _ = ld.pages_to_issues(lf.search_pages(spark, sf).select("repo", "body"))
-    return issues
+def landing_store(spark, sf, extra=None) -> str:
+    """Path of a store into which all search pages and the faulty ones were landed."""
+    root = scratch_path(spark, "landing")
+    pages = lf.search_pages(spark, sf)
+    pages = pages if extra is None else pages.unionByName(extra(pages))
+    dl.land_pages(spark, root, pages.select("repo", "body").unionByName(lf.faulty_pages(spark, sf)), batch="pages")
+    return root
 
 
 @register("src_04", W(ov.TRACKER, ov.LINKS_ONLY) + """
@@ -49,7 +55,7 @@ SELECT t.repo, t.key, t.created, t.issuetype, t.project,
        CASE WHEN t.o_orderstatus = 'P' THEN 'EPIC-' || CAST(t.o_custkey AS VARCHAR) END AS epic
 FROM tracker t LEFT JOIN (SELECT key, count(*) AS n FROM links GROUP BY key) l ON l.key = t.key""")
 def src_04(spark, sf):
-    i = landed_issues(spark, sf)
+    i = dl.landed_issues(spark, landing_store(spark, sf))
     r = fx.repos(spark, sf).select("repo", "epic_field")
     j = i.join(r, "repo", "left")
     return j.select("repo", "key", F.col("fields.created").alias("created"),
@@ -59,6 +65,17 @@ def src_04(spark, sf):
                     F.try_element_at("fields.custom_fields", F.col("epic_field")).alias("epic"))
 
 
+@register("src_04_rejects", """
+SELECT r_name AS repo, 'Rate limit exceeded' AS reason, CAST(1 AS BIGINT) AS n FROM region""")
+def src_04_rejects(spark, sf):
+    """Rejects that are left open after those that were no JSON came again as an empty page."""
+    root = landing_store(spark, sf)
+    mended = dl.open_rejects(spark, root).where("reason = 'no JSON'").select(
+        "page_id", F.lit('{"total":0,"startAt":0,"issues":[]}').alias("body"))
+    dl.replay(spark, root, mended, batch="mended")
+    return dl.open_rejects(spark, root).groupBy("repo", "reason").agg(F.count("*").alias("n"))
+
+
 @register("src_05", W(ov.TRACKER, TOTALS_SQL, PLAN_SQL) + """
 SELECT source, start_at, max_results,
        jira_url || '/rest/api/2/search?jql=&ORDER%20BY%20created%20ASC&startAt=' || CAST(start_at AS VARCHAR)
@@ -89,6 +106,21 @@ def src_06(spark, sf):
     return ld.audit_landing(lab, totals)
 
 
+@register("src_06_ranges", W(ov.TRACKER) + """,
+pages AS (SELECT repo, o_orderkey // 250 * 250 AS s, o_orderkey // 250 * 250 + count(*) AS e FROM tracker GROUP BY repo, o_orderkey // 250),
+totals AS (SELECT repo, count(*) AS total FROM tracker GROUP BY repo),
+seen AS (SELECT p.*, total, coalesce(max(e) OVER (PARTITION BY p.repo ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
+         FROM pages p JOIN totals t ON t.repo = p.repo),
+ranges AS (
+  SELECT repo, 'missing' AS kind, reached AS s, least(s, total) AS e FROM seen
+  UNION ALL SELECT repo, 'missing', max(e), any_value(total) FROM seen GROUP BY repo
+  UNION ALL SELECT repo, 'double', s, e FROM pages WHERE s % 1250 = 0)
+SELECT repo, kind, CAST(s AS BIGINT) AS start, CAST(e - s AS BIGINT) AS length FROM ranges WHERE e > s""")
+def src_06_ranges(spark, sf):
+    """Ranges of issues missing against the announced totals, and ranges landed twice (every fifth page came again)."""
+    return dl.page_coverage(spark, landing_store(spark, sf, lambda pages: pages.where("page_no % 5 = 0")))
+
+
 _COMMENT_STATUS_SQL = W(ov.TRACKER) + """,
 cv AS (SELECT DISTINCT conv_id FROM conversations),
 st AS (SELECT t.key, CASE WHEN cv.conv_id IS NOT NULL THEN 'ok' WHEN t.o_orderstatus = 'F' THEN 'skip'
@@ -119,20 +151,44 @@ def scl_18(spark, sf):
     return t.select("key", ld.comment_url(lf.jira_url(F.col("repo")), F.col("key")).alias("url"))
 
 
-@register("job_07", _COMMENT_STATUS_SQL + """,
-cc AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT t.repo, count(*) AS issues, count(*) FILTER (WHERE st.status IN ('ok', 'skip')) AS with_comments,
-       CAST(coalesce(sum(cc.n), 0) AS BIGINT) AS comments
-FROM tracker t JOIN st ON st.key = t.key LEFT JOIN cc ON cc.conv_id = t.o_orderkey GROUP BY t.repo""")
+BY_ISSUE = ["repo", "key"]
+
+ROUNDS_SQL = W(ov.TRACKER) + """,
+cn AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+st AS (SELECT t.repo, t.key,
+              CASE WHEN n IS NULL THEN CASE o_orderstatus WHEN 'F' THEN 'refused' WHEN 'P' THEN 'incomplete' ELSE 'complete' END
+                   WHEN o_orderkey % 11 = 7 OR (o_orderkey % 7 = 5 AND n > 3) THEN 'incomplete' ELSE 'complete' END AS state,
+              CAST(CASE WHEN n IS NULL OR o_orderkey % 11 = 7 THEN 0 WHEN o_orderkey % 7 = 5 THEN least(n, 3) ELSE n END AS BIGINT) AS landed
+       FROM tracker t LEFT JOIN cn ON cn.conv_id = t.o_orderkey)"""
+
+
+def comment_store(spark, sf) -> str:
+    """Path of the outcomes and comments of all rounds: asked until nothing is left to ask."""
+    root = scratch_path(spark, "comments")
+    rq.fetch_rounds(spark, root, lf.comment_requests(spark, sf), lf.comment_server(spark, sf), BY_ISSUE, ld.comment_page(), "comments",
+                    lf.ROUND_SIZE, lf.ROUND_ATTEMPTS)
+    return root
+
+
+@register("scl_18_rounds", ROUNDS_SQL + "\nSELECT repo, key, state, landed FROM st")
+def scl_18_rounds(spark, sf):
+    """Comment pages asked for over several rounds: further pages, retries, totals that grew."""
+    return rq.state(sn.read(spark, comment_store(spark, sf)), BY_ISSUE).select("repo", "key", "state", "landed")
+
+
+@register("job_07", ROUNDS_SQL + """
+SELECT repo, count(*) AS issues, count(*) FILTER (WHERE state <> 'incomplete') AS with_comments,
+       CAST(sum(CASE WHEN state = 'complete' THEN landed ELSE 0 END) AS BIGINT) AS comments FROM st GROUP BY repo""")
 def job_07(spark, sf):
-    """Land: search pages -> issues (deduplicated) -> comments attached where the
-    request succeeded or was refused (failures stay pending)."""
-    issues = ld.dedupe_issues(landed_issues(spark, sf))
-    tri = ld.triage_comment_pages(lf.comment_pages(spark, sf))
-    done = tri.where(F.col("status").isin("ok", "skip"))
-    cs = done.select("key", F.explode_outer("page.comments").alias("c")).where(F.col("c").isNotNull())
-    cs = cs.select("key", "c.id", "c.created", "c.body")
-    landed = cm.attach_comments(issues, cs, processed=done.select("key"))
+    """Land: search pages -> issues (newest copy of each) -> stored by tracker; comments fetched in rounds and merged into
+    the stored table where their ranges cover the total or the request was refused (others stay pending)."""
+    issues = scratch_path(spark, "issues")
+    dl.store_issues(spark, issues, dl.landed_issues(spark, landing_store(spark, sf)))
+    fetched = comment_store(spark, sf)
+    done = rq.state(sn.read(spark, fetched), BY_ISSUE).where("state <> 'incomplete'").select(*BY_ISSUE)
+    comments = rq.landed_items(spark, fetched, BY_ISSUE).select(*BY_ISSUE, "item.id", "item.created", "item.body")
+    dl.merge_comments(spark, issues, comments.join(done, BY_ISSUE), done)
+    landed = sn.read(spark, issues)
     return landed.groupBy("repo").agg(
         F.count("*").alias("issues"),
         F.count_if(F.col("fields.comments").isNotNull()).alias("with_comments"),
@@ -171,18 +227,29 @@ cc AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
 SELECT t.key, CAST(coalesce(cc.n, 0) AS INTEGER) AS n_comments FROM tracker t LEFT JOIN cc ON cc.conv_id = t.o_orderkey"""
 
 
+def _conversation_comments(spark, sf):
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("string").alias("id"),
+        F.lpad(F.col("turn").cast("string"), 4, "0").alias("created"), F.col("text").alias("body"))
+
+
 def _attached(spark, sf):
     base = fx.tracker(spark, sf, ())
     work = cm.pending_comments(base)
-    c = table(spark, sf, "conversations").select(
-        F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("string").alias("id"),
-        F.lpad(F.col("turn").cast("string"), 4, "0").alias("created"), F.col("text").alias("body"))
-    return cm.attach_comments(base, c, processed=work)
+    return cm.attach_comments(base, _conversation_comments(spark, sf), processed=work)
 
 
-@register("snk_07", _ATTACH_SQL)
+@register("snk_07", W(ov.TRACKER) + """,
+cc AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT t.repo, t.key, CAST(cc.n AS INTEGER) AS n_comments FROM tracker t LEFT JOIN cc ON cc.conv_id = t.o_orderkey""")
 def snk_07(spark, sf):
-    return _attached(spark, sf).select("key", F.size("fields.comments").alias("n_comments"))
+    """Comments merged into the stored issues; issues without a response keep what they have (nothing)."""
+    root = scratch_path(spark, "issues")
+    dl.store_issues(spark, root, fx.tracker(spark, sf, ()))
+    t = fx.tracker(spark, sf, ()).select("repo", "key")
+    c = _conversation_comments(spark, sf).join(t, "key")
+    dl.merge_comments(spark, root, c, c.select("repo", "key").distinct())
+    return sn.read(spark, root).select("repo", "key", F.size("fields.comments").alias("n_comments"))
 
 
 @register("join_08", _ATTACH_SQL)
