@@ -1,16 +1,10 @@
 """Per-tracker profile (AGG-01..17, SET-01/02, JOIN-04, JOIN-09, PRJ-08..11, FLT-02..04).
 
-Input is the nested issue table (``schemas.ISSUE``) with ``repo`` as the source
-column. All metrics come from one ``groupBy('repo')`` per kind of work:
-
-* one scan with partial (map-side) aggregation for every count / size metric;
-* one branch per distinct set (links, link types, used types, projects); each
-  is a two-phase distinct aggregate whose shuffle key is ``(repo, value)``, so
-  a source holding a third of all issues is still spread over many tasks;
-* one top-N window for the birth year, which Spark runs as ``WindowGroupLimit``
-  before the shuffle, so at most N rows per source and map task move.
-
-Nothing is exploded just to be counted: array sizes are summed instead.
+Input is the nested issue table (``schemas.ISSUE``) or flat child tables, with ``repo`` as
+the source column. The whole profile is one table of members (below) and one top-N
+window for the birth year, which Spark runs as ``WindowGroupLimit`` before the
+shuffle, so at most N rows per source and map task move. The functions of single
+metrics read only what their metric needs.
 """
 
 from __future__ import annotations
@@ -194,8 +188,8 @@ def profile(issues: DataFrame, repos: DataFrame, type_catalog: DataFrame | None
             link_catalog: DataFrame | None = None) -> DataFrame:
     """AGG-16 / JOB-05 on nested issue documents: one row per source in ``repos``
     (JOIN-09); a source with no rows gets 0 in every count."""
-    return profile_parts(**normalize(issues, repos), repos=repos, type_catalog=type_catalog,
-                         link_catalog=link_catalog)
+    return profile_of(member_counts(document_members(issues, repos)), issues.select("repo", "key", F.col("fields.created").alias("created")),
+                      repos, type_catalog, link_catalog)
 
 
 def profile_summary(prof: DataFrame, columns=SUMMARY_COLUMNS, digits: int = 4) -> DataFrame:
@@ -214,58 +208,78 @@ def profile_summary(prof: DataFrame, columns=SUMMARY_COLUMNS, digits: int = 4) -
 
 
 # ----------------------------------------------------------------------------
-# Normalized form: the same profile from flat child tables. Nested documents are
-# normalized by explodes only (no grouping); flat sources (landed child tables)
-# feed it directly. Every metric is then a per-source partial aggregate or a
-# two-phase distinct count, so no per-issue or per-source collect exists.
+# Members: every metric but the birth year comes from one table (repo, kind, name, n), n
+# saying how often a member occurs. Counts are the sum of n of their kind, distinct sets the
+# number of names of theirs. Each child table is read once and gives all its members by
+# one explode; one aggregate keyed by (repo, kind, name) follows, partial before its
+# shuffle, so no per-issue or per-source collect exists and a large source is spread by its names.
 
-def normalize(issues: DataFrame, repos: DataFrame) -> dict:
-    """Nested issues -> the inputs of ``profile_parts``."""
-    e = with_epic(issues, repos)
-    flat = e.select("repo", "key", F.col("fields.created").alias("created"),
-                    F.col("fields.issuetype.name").alias("issuetype"),
-                    F.col("fields.project.name").alias("project"), "epic")
-    n_items = F.aggregate(F.col("changelog.histories"), F.lit(0).cast("long"),
-                          lambda acc, h: acc + size0(h["items"]))
-    counts = issues.select("repo", size0("fields.subtasks").cast("long").alias("subtasks"),
-                           F.coalesce(n_items, F.lit(0).cast("long")).alias("changes"),
-                           size0("fields.comments").cast("long").alias("comments"))
-    changes = change_items(issues, keep=("repo",)).where(
-        F.col("field").isin("issuetype", "project")).select("repo", "field", "fromString")
-    return {"issues": flat, "links": link_ids(issues), "changes": changes, "counts": counts}
-
-
-def _member(kind, col):
-    return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("name"))
-
-
-def flat_members(issues: DataFrame, links: DataFrame, changes: DataFrame) -> DataFrame:
-    """SET-01 / SET-02 (and link sets) over flat inputs: (repo, kind, name), nulls kept
-    out later by ``count(distinct)``."""
-    cur = issues.select("repo", F.explode(F.array(_member("uit", F.col("issuetype")),
-                                                   _member("up", F.col("project")))).alias("x"))
-    hist = changes.select("repo", F.struct(
-        F.when(F.col("field") == "issuetype", F.lit("uit")).otherwise(F.lit("up")).alias("kind"),
-        F.col("fromString").alias("name")).alias("x"))
-    lk = links.select("repo", F.explode(F.array(_member("distinct_links", F.col("link_id")),
-                                                 _member("ult", F.col("link_type")))).alias("x"))
-    return cur.unionByName(hist).unionByName(lk).select("repo", "x.kind", "x.name")
-
-
-def flat_sets(issues: DataFrame, links: DataFrame, changes: DataFrame) -> DataFrame:
-    """AGG-03, -04, -09, -13: one two-phase distinct count keyed by (repo, kind, name)."""
-    per = flat_members(issues, links, changes).groupBy("repo", "kind").agg(
-        F.count_distinct("name").alias("n"))
-    return per.groupBy("repo").pivot("kind", SET_KINDS).agg(F.first("n"))
+COUNT_KINDS = ["issues", "epics", "subtasks", "changes", "comments"]
+_MEMBER = "struct<kind:string,name:string>"
+
+
+def _member(kind, name=None):
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(kind.alias("kind"), (F.lit(None) if name is None else name).cast("string").alias("name"))
+
+
+def _members(rows: DataFrame, *members: Column) -> DataFrame:
+    """(repo, kind, name) of each row's members; a null member is none."""
+    return rows.select("repo", F.explode(F.array_compact(F.array(*members))).alias("x")).select("repo", "x.kind", "x.name")
+
+
+def issue_members(issues: DataFrame) -> DataFrame:
+    """``issues``: (repo, issuetype, project, epic)."""
+    return _members(issues, _member("issues"), _member("uit", F.col("issuetype")), _member("up", F.col("project")),
+                    F.when(F.col("epic").isNotNull(), _member("epics")))
 
 
-def flat_counts(issues: DataFrame, counts: DataFrame) -> DataFrame:
-    """AGG-01, -05, -06, -11, -14: per-source partial aggregates."""
-    base = issues.groupBy("repo").agg(F.count("*").alias("issues"),
-                                      F.count_if(F.col("epic").isNotNull()).alias("epics"))
-    sums = counts.groupBy("repo").agg(*[F.sum(c).cast("long").alias(c)
-                                        for c in ("subtasks", "changes", "comments")])
-    return base.join(sums, "repo", "full_outer")
+def link_members(links: DataFrame) -> DataFrame:
+    """``links``: (repo, link_id, link_type, subtask), a row for each link; ``subtask`` tells the links that also are one."""
+    return _members(links, _member("distinct_links", F.col("link_id")), _member("ult", F.col("link_type")),
+                    F.when(F.col("subtask"), _member("subtasks")))
+
+
+def change_members(changes: DataFrame) -> DataFrame:
+    """``changes``: (repo, field, fromString), a row for each change item."""
+    kind = F.when(F.col("field") == "issuetype", "uit").when(F.col("field") == "project", "up")
+    return _members(changes, _member("changes"), F.when(kind.isNotNull(), _member(kind, F.col("fromString"))))
+
+
+def comment_members(comments: DataFrame) -> DataFrame:
+    """``comments``: (repo), a row for each comment."""
+    return _members(comments, _member("comments"))
+
+
+def document_members(issues: DataFrame, repos: DataFrame) -> DataFrame:
+    """The members of nested issue documents, all from one explode."""
+    none = F.array().cast(f"array<{_MEMBER}>")
+    array = lambda c: F.coalesce(c, none)
+    items = F.flatten(F.transform(F.filter("changelog.histories", lambda h: h["items"].isNotNull()), lambda h: h["items"]))
+    kind = lambda i: F.when(i["field"] == "issuetype", "uit").when(i["field"] == "project", "up")
+    own = F.array(_member("issues"), _member("uit", F.col("fields.issuetype.name")), _member("up", F.col("fields.project.name")))
+    epic = F.when(F.col("epic").isNotNull(), F.array(_member("epics")))
+    links = F.flatten(F.transform("fields.issuelinks", lambda l: F.array(
+        _member("distinct_links", l["id"]), _member("ult", l["type"]["name"]))))
+    subtasks = F.transform("fields.subtasks", lambda s: _member("subtasks"))
+    changes = F.flatten(F.transform(items, lambda i: F.array(_member("changes"), _member(kind(i), i["fromString"]))))
+    comments = F.transform("fields.comments", lambda c: _member("comments"))
+    every = F.concat(own, *[array(c) for c in (epic, links, subtasks, changes, comments)])
+    rows = with_epic(issues, repos).select("repo", F.explode(every).alias("x")).select("repo", "x.kind", "x.name")
+    return rows.where(F.col("kind").isNotNull())
+
+
+def member_counts(members: DataFrame) -> DataFrame:
+    """(repo, kind, name, n); ``members`` may carry an ``n`` of their own (also a negative one)."""
+    n = F.sum("n") if "n" in members.columns else F.count("*")
+    return members.groupBy("repo", "kind", "name").agg(n.cast("long").alias("n"))
+
+
+def metrics(counts: DataFrame, kinds=(*COUNT_KINDS, *SET_KINDS)) -> DataFrame:
+    """(repo, a column for each kind) of ``member_counts``: AGG-01, -03..06, -09, -11, -13, -14."""
+    here = lambda k: (F.col("kind") == k) & (F.col("n") > 0)
+    size = lambda k: F.sum(F.when(here(k), F.col("n"))) if k in COUNT_KINDS else F.count_if(here(k) & F.col("name").isNotNull())
+    return counts.groupBy("repo").agg(*[F.coalesce(size(k), F.lit(0)).cast("long").alias(k) for k in kinds])
 
 
 def flat_born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> DataFrame:
@@ -277,19 +291,10 @@ def flat_born(issues: DataFrame, repos: DataFrame, n: int = BORN_WINDOW) -> Data
         "repo", F.substring("created", 1, 4).alias("born"), F.col("created").alias("born_created"))
 
 
-def profile_parts(issues: DataFrame, links: DataFrame, changes: DataFrame, counts: DataFrame,
-                  repos: DataFrame, type_catalog: DataFrame | None = None,
-                  link_catalog: DataFrame | None = None) -> DataFrame:
-    """AGG-16 over flat inputs.
-
-    issues:  repo, key, created, issuetype, project, epic
-    links:   repo, link_id, link_type          (one row per link on an issue)
-    changes: repo, field, fromString           (change items of issuetype / project)
-    counts:  repo, subtasks, changes, comments (partial counts at any grain)
-    """
-    parts = [flat_counts(issues, counts), flat_sets(issues, links, changes),
-             flat_born(issues, repos).drop("born_created")]
-    return _assemble(repos, parts, type_catalog, link_catalog)
+def profile_of(counts: DataFrame, created: DataFrame, repos: DataFrame, type_catalog: DataFrame | None = None,
+               link_catalog: DataFrame | None = None) -> DataFrame:
+    """AGG-16 from ``member_counts`` and (repo, key, created) of the issues."""
+    return _assemble(repos, [metrics(counts), flat_born(created, repos).drop("born_created")], type_catalog, link_catalog)
 
 
 def _assemble(repos, parts, type_catalog, link_catalog):
@@ -316,9 +321,17 @@ def flat_issues(tables: dict, repos: DataFrame) -> DataFrame:
                     F.col("fields.project.name").alias("project"), "epic")
 
 
+def table_members(tables: dict, repos: DataFrame) -> DataFrame:
+    """The members of child tables (issues, links, changes, comments), each read once."""
+    out = issue_members(flat_issues(tables, repos))
+    for members in (link_members(tables["links"]), change_members(tables["changes"]), comment_members(tables["comments"])):
+        out = out.unionByName(members)
+    return out
+
+
 def profile_tables(tables: dict, repos: DataFrame, type_catalog: DataFrame | None = None,
                    link_catalog: DataFrame | None = None) -> DataFrame:
     """AGG-16 from child tables whose ``issues`` still carry the nested ``fields``
     (for the epic lookup through the source's own custom field)."""
-    return profile_parts(flat_issues(tables, repos), tables["links"], tables["changes"],
-                         tables["counts"], repos, type_catalog, link_catalog)
+    created = tables["issues"].select("repo", "key", F.col("fields.created").alias("created"))
+    return profile_of(member_counts(table_members(tables, repos)), created, repos, type_catalog, link_catalog)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators import profile as pf
+from ..operators import profile_store as ps
+from ..session import scratch_path
 from ..sources import catalogs as cg
 from ..sources import fixtures as fx
 from . import oracle_views as ov
@@ -86,6 +89,20 @@ def agg_16(spark, sf):
     return _full_profile(spark, sf)
 
 
+@register("agg_16_landed", PROFILE_BASE + f"\nSELECT {_PROFILE_COLS} FROM prof")
+def agg_16_landed(spark, sf):
+    """The profile kept up to date over three landings; the last replaces issues that landed before without their links."""
+    root, r, t = scratch_path(spark, "profile"), _repos(spark, sf), _t(spark, sf)
+    third = F.pmod(F.col("_id").cast("long"), F.lit(3))
+    bare = t.withColumn("fields", F.col("fields").dropFields("issuelinks", "comments"))
+    bare = bare.withColumn("fields", F.col("fields").withField("issuelinks", F.lit(None).cast(S.FIELDS["issuelinks"].dataType))
+                           .withField("comments", F.lit(None).cast(S.FIELDS["comments"].dataType)))
+    ps.land(spark, root, t.where(third == 0), r, batch="first")
+    ps.land(spark, root, bare.where(third == 1), r, batch="second")
+    ps.land(spark, root, t.where(third != 0), r, replaced=bare.where(third == 1), batch="third")
+    return ps.stored_profile(spark, root, r, cg.catalog(spark, sf, "issuetype"), cg.catalog(spark, sf, "linktype"))
+
+
 _SUM_SQL = PROFILE_BASE + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{label}' AS stat, " + ", ".join(
         f"round(CAST({fn}(CAST({c} AS DOUBLE)) AS DOUBLE), 4) AS {c}" for c in pf.SUMMARY_COLUMNS)
@@ -119,33 +136,37 @@ def _tables(spark, sf):
     return fx.tracker_tables(spark, sf)
 
 
-def _flat(name, cols, fn):
-    """A profile metric from the child tables (normalized path)."""
-    sql = PROFILE_BASE + f"\nSELECT repo, {', '.join(cols)} FROM prof"
+def _members(name, kind, members):
+    """A metric of one kind of member, from the child tables that have it."""
+    sql = PROFILE_BASE + f"\nSELECT repo, {kind} FROM prof"
 
     @register(name, sql)
     def q(spark, sf):
-        t = _tables(spark, sf)
-        r = _repos(spark, sf)
-        return fn(t, r, pf.flat_issues(t, r)).select("repo", *cols)
+        rows = members(_tables(spark, sf), _repos(spark, sf)).where(F.col("kind") == kind)
+        return pf.metrics(pf.member_counts(rows), [kind])
     return q
 
 
-def _counts(t, r, i):
-    return pf.flat_counts(i, t["counts"])
+def _issues(t, r):
+    return pf.issue_members(pf.flat_issues(t, r))
 
 
-def _sets(t, r, i):
-    return pf.flat_sets(i, t["links"], t["changes"])
+def _changes(t, r):
+    return pf.change_members(t["changes"])
 
 
-_flat("agg_01", ["issues"], _counts)
-_flat("agg_06", ["epics"], _counts)
-_flat("agg_11", ["changes"], _counts)
-_flat("agg_14", ["comments"], _counts)
-_flat("agg_03", ["uit"], _sets)
-_flat("agg_13", ["up"], _sets)
-_flat("agg_09", ["ult"], _sets)
+def _used(t, r):
+    """Current and previous values: the issues and their changes."""
+    return _issues(t, r).unionByName(_changes(t, r))
+
+
+_members("agg_01", "issues", _issues)
+_members("agg_06", "epics", _issues)
+_members("agg_11", "changes", _changes)
+_members("agg_14", "comments", lambda t, r: pf.comment_members(t["comments"]))
+_members("agg_03", "uit", _used)
+_members("agg_13", "up", _used)
+_members("agg_09", "ult", lambda t, r: pf.link_members(t["links"]))
 # nested-document forms of the same metrics (links and sub-task arrays per issue)
 _metric("agg_05", ["subtasks"], ("links",), lambda s, sf, t: pf.size_metrics(t, _repos(s, sf)))
 _metric("agg_04", ["distinct_links"], ("links",), lambda s, sf, t: pf.distinct_links(t))
@@ -154,13 +175,15 @@ _metric("agg_10", ["born", "born_created"], (), lambda s, sf, t: pf.born(t, _rep
 
 @register("agg_07", PROFILE_BASE + "\nSELECT repo, links FROM prof")
 def agg_07(spark, sf):
-    return _full_profile(spark, sf).select("repo", "links")
+    t, r = _tables(spark, sf), _repos(spark, sf)
+    m = pf.metrics(pf.member_counts(_issues(t, r).unionByName(pf.link_members(t["links"]))), ["distinct_links", "subtasks", "epics"])
+    return m.select("repo", (F.col("distinct_links") + F.col("subtasks") + F.col("epics")).alias("links"))
 
 
 @register("agg_12", PROFILE_BASE + "\nSELECT repo, changes_per_issue FROM prof")
 def agg_12(spark, sf):
     t, r = _tables(spark, sf), _repos(spark, sf)
-    m = pf.flat_counts(pf.flat_issues(t, r), t["counts"])
+    m = pf.metrics(pf.member_counts(_used(t, r)), ["issues", "changes"])
     return m.select("repo", pf.ratio("changes", "issues").alias("changes_per_issue"))
 
 
@@ -189,7 +212,7 @@ SELECT DISTINCT repo, name FROM (
   UNION ALL SELECT repo, fromString FROM changes WHERE field = 'issuetype') WHERE name IS NOT NULL""")
 def set_01(spark, sf):
     t, r = _tables(spark, sf), _repos(spark, sf)
-    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    m = _used(t, r)
     return m.where((F.col("kind") == "uit") & F.col("name").isNotNull()).select("repo", "name").distinct()
 
 
@@ -199,7 +222,7 @@ SELECT DISTINCT repo, name FROM (
   UNION ALL SELECT repo, fromString FROM changes WHERE field = 'project') WHERE name IS NOT NULL""")
 def set_02(spark, sf):
     t, r = _tables(spark, sf), _repos(spark, sf)
-    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    m = _used(t, r)
     return m.where((F.col("kind") == "up") & F.col("name").isNotNull()).select("repo", "name").distinct()
 
 
@@ -376,7 +399,7 @@ LEFT JOIN classes c ON c.name = u.name""")
 def src_13(spark, sf):
     """Used issue types checked against the allowed class list (and its order)."""
     t, r = _tables(spark, sf), _repos(spark, sf)
-    m = pf.flat_members(pf.flat_issues(t, r), t["links"], t["changes"])
+    m = _used(t, r)
     used = m.where((F.col("kind") == "uit") & F.col("name").isNotNull()).select("name").distinct()
     cls = cg.allowed_classes(spark).select("name", "position")
     j = used.join(cls, "name", "left")

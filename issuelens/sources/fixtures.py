@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from ..schemas import ISSUE
 from .tables import table
 
@@ -210,33 +209,19 @@ def tracker_tables(spark: SparkSession, sf_dir: str) -> dict:
     """The tracker as flat child tables (the normalized profile input), built with
     joins on the issue key only: no per-issue or per-source grouping.
 
-    issues (repo, key, created, issuetype, project, custom_fields),
-    links (repo, link_id, link_type), changes (repo, field, fromString),
-    counts (repo, subtasks, changes, comments) at one row per child row.
+    issues (repo, key, fields), links (repo, link_id, link_type, subtask), changes
+    (repo, field, fromString), comments (repo); a row for each child row. A query reads the
+    tables that it names: nothing is written or counted ahead, and where several children
+    meet the issues in one plan Spark shuffles or broadcasts (issue key, source) once.
     """
-    # the issue rows (a 4-way join) are landed once in the shared folder; every
-    # child table joins that table instead of recomputing the join
-    docs = tracker(spark, sf_dir, ()).withColumn("_k", F.col("key").cast("long"))
-    landed = materialize(docs.select("repo", "key", "_k", "fields"), "tracker-issues",
-                         partition_by="repo")
-    issues = landed.select("repo", "key", "fields")
-    owner = landed.select("_k", "repo")
+    owner = tracker_base(spark, sf_dir).select(F.col("o_orderkey").alias("_k"), F.col("r_name").alias("repo"))
     li = table(spark, sf_dir, "lineitem").join(owner, F.col("l_orderkey") == F.col("_k"))
-    links = li.select("repo", F.col("l_partkey").cast("string").alias("link_id"),
-                      F.col("l_returnflag").alias("link_type"))
-    ev = table(spark, sf_dir, "events").join(owner, F.col("user_id") == F.col("_k"))
+    links = li.select("repo", F.col("l_partkey").cast("string").alias("link_id"), F.col("l_returnflag").alias("link_type"),
+                      (F.col("l_linestatus") == "F").alias("subtask"))
     field = F.col("event_type")
     for src, dst in CHANGE_FIELD_MAP.items():
         field = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(field)
-    changes = ev.select("repo", field.alias("field"),
-                        F.get_json_object("props", "$.k").alias("fromString")).where(
-        F.col("field").isin("issuetype", "project"))
-    cv = table(spark, sf_dir, "conversations").join(owner, F.col("conv_id") == F.col("_k"))
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    counts = (li.where(F.col("l_linestatus") == "F")
-              .select("repo", one.alias("subtasks"), zero.alias("changes"), zero.alias("comments"))
-              .unionByName(ev.select("repo", zero.alias("subtasks"), one.alias("changes"),
-                                     zero.alias("comments")))
-              .unionByName(cv.select("repo", zero.alias("subtasks"), zero.alias("changes"),
-                                     one.alias("comments"))))
-    return {"issues": issues, "links": links, "changes": changes, "counts": counts}
+    changes = (table(spark, sf_dir, "events").join(owner, F.col("user_id") == F.col("_k"))
+               .select("repo", field.alias("field"), F.get_json_object("props", "$.k").alias("fromString")))
+    comments = table(spark, sf_dir, "conversations").join(owner, F.col("conv_id") == F.col("_k")).select("repo")
+    return {"issues": tracker(spark, sf_dir, ()).select("repo", "key", "fields"), "links": links, "changes": changes, "comments": comments}

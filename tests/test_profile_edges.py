@@ -115,3 +115,42 @@ def test_two_level_top_n_equals_single_window(spark):
     want = {(r["repo"], r["rn"], r["key"]) for r in
             df.withColumn("rn", F.row_number().over(w)).where("rn <= 25").collect()}
     assert got == want
+
+
+def _same(a, b):
+    return sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_profile_kept_up_to_date(spark, issues, repos, tmp_path):
+    """Equal to the full profile after three landings, one of them with replaced issues, and after compacting."""
+    from issuelens.operators import profile_store as ps
+    from issuelens.operators import snapshot as sn
+
+    root = str(tmp_path / "p")
+    first, second = issues.where("repo = 'A'"), issues.where("repo = 'B'")
+    ps.land(spark, root, first, repos, batch="1")
+    assert _same(ps.stored_profile(spark, root, repos), pf.profile(first, repos))
+    ps.land(spark, root, second, repos, batch="2")
+    assert _same(ps.stored_profile(spark, root, repos), pf.profile(first.unionByName(second), repos))
+    assert ps.land(spark, root, second, repos, batch="2").version == 2        # a replayed landing adds nothing
+    newer = first.where("key = 'A-1'").withColumn("fields", F.col("fields").withField("issuetype.name", F.lit("Story"))
+                                                   .withField("issuelinks", F.lit(None).cast(pf_schema()["fields"].dataType["issuelinks"].dataType)))
+    ps.land(spark, root, newer.unionByName(issues.where("repo = 'D'")), repos, replaced=first.where("key = 'A-1'"), batch="3")
+    now = issues.where("key <> 'A-1'").unionByName(newer)
+    assert _same(ps.stored_profile(spark, root, repos), pf.profile(now, repos))
+    rows = sn.latest(spark, root).rows()
+    assert ps.compact(spark, root).rows() < rows
+    assert _same(ps.stored_profile(spark, root, repos), pf.profile(now, repos))
+    gone = ps.members(spark, root).where("name = 'Task'")
+    assert gone.count() == 0                                                   # its last member was replaced
+
+
+def test_single_metrics_read_only_their_tables(spark):
+    import __spark_entry__ as se
+    from .conftest import SF_SMALL
+
+    q = se.queries()
+    for name, others in (("agg_01", ("lineitem", "events", "conversations")), ("agg_03", ("lineitem", "conversations")),
+                         ("agg_09", ("events", "conversations")), ("agg_14", ("lineitem", "events")), ("set_01", ("lineitem", "conversations"))):
+        plan = plan_text(q[name](spark, SF_SMALL))
+        assert not any(f"/{t}.parquet" in plan for t in others), name
