@@ -87,12 +87,6 @@ def cell_table(placed: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("rows"), F.max("distance").alias("radius")))
 
 
-def sorted_by_cell(placed: DataFrame) -> DataFrame:
-    """Rows laid out by cell for writing; a large cell is spread over several files."""
-    return (placed.repartitionByRange("cell", F.xxhash64("key" if "key" in placed.columns else "issue_key"))
-            .sortWithinPartitions("cell").drop("distance"))
-
-
 def load_cells(centres: DataFrame, cells: DataFrame) -> Cells:
     """Centres with the sums of all commits; ``MAX_CELLS`` rows at most reach the driver."""
     M = _centre_matrix(centres)

@@ -1,8 +1,9 @@
 """A stored vector index and text search over it (JOB-01, JOB-02, SNK-05, SNK-06, SRC-02, JOIN-07).
 
-``IndexStore`` keeps an index as commits of ``snapshot.py``: index rows (repo, issue_key,
-text, issuetype, embedding, cell) in the main table, issues whose text the encoder failed on in
-``rejected``, the cells of ``cells.py`` in ``centres`` and ``cells``. All four appear together.
+The store keeps an index as commits of ``snapshot.py``: index rows (repo, issue_key,
+text, issuetype, embedding, cell, distance) in the main table, issues whose text the encoder failed on in
+``rejected``, the cells of ``cells.py`` in ``centres`` and ``cells``, and the keys alone in ``keys``, split by
+key hash, so that a batch finds out what is indexed from the buckets it hits. All appear together.
 
 ``search`` opens one snapshot, checks it, encodes the query texts with the instruction that
 only queries get, and finds their exact neighbours.
@@ -21,7 +22,53 @@ from . import neighbours as nb
 from . import snapshot as sn
 from .index import encode_issues, pending
 
-REJECTED, CENTRES, CELLS = "rejected", "centres", "cells"
+REJECTED, CENTRES, CELLS, KEYS = "rejected", "centres", "cells", "keys"
+KEY_BUCKETS = 32
+
+
+def _identity(df: DataFrame) -> list[str]:
+    """Columns that tell index rows apart."""
+    return [c for c in ("repo", "issue_key") if c in df.columns]
+
+
+def _bucketed(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("bucket", F.pmod(F.xxhash64(*_identity(keys)), F.lit(KEY_BUCKETS)).cast("string"))
+
+
+def _bucket(part: sn.Part) -> str:
+    return part.folder.rsplit("bucket=", 1)[1]
+
+
+def known_keys(spark: SparkSession, root: str, held: sn.Snapshot, keys: DataFrame) -> tuple[DataFrame, list[sn.Part]]:
+    """The stored keys of the buckets that ``keys`` (repo, issue_key) fall in, and the parts that are read for them.
+
+    At most ``KEY_BUCKETS`` bucket numbers reach the driver. No other part of the index is opened.
+    """
+    hit = {r.bucket for r in _bucketed(keys).select("bucket").distinct().collect()}
+    parts = [p for p in held.parts.get(KEYS, []) if _bucket(p) in hit]
+    return sn.read(spark, root, KEYS, held._replace(parts={KEYS: parts})), parts
+
+
+def _key_parts(spark: SparkSession, root: str, held: sn.Snapshot, keys: DataFrame) -> tuple[list[sn.Part], list[sn.Part]]:
+    """New parts of the key table, and the older parts merged into them.
+
+    In every bucket the new keys take in the parts that are no larger than what is gathered so far,
+    smallest first, so a bucket of N keys has about log N parts and a key is rewritten about log N times.
+    """
+    fresh = {r.bucket: r.n for r in _bucketed(keys).groupBy("bucket").agg(F.count("*").alias("n")).collect()}   # KEY_BUCKETS rows at most
+    gone = []
+    for bucket, n in fresh.items():
+        for p in sorted((p for p in held.parts.get(KEYS, []) if _bucket(p) == bucket), key=lambda p: p.rows):
+            if p.rows > n:
+                break
+            gone.append(p)
+            n += p.rows
+    rows = keys
+    if gone:
+        rows = rows.unionByName(sn.read(spark, root, KEYS, held._replace(parts={KEYS: gone})))
+    if not fresh:
+        return [], []
+    return list(sn.write_split(_bucketed(rows).repartition("bucket"), root, ["bucket"], KEYS).values()), gone
 
 
 def add(spark: SparkSession, root: str, issues: DataFrame, encoder=None, batch: str | None = None) -> sn.Snapshot:
@@ -37,49 +84,60 @@ def add(spark: SparkSession, root: str, issues: DataFrame, encoder=None, batch:
         return held
     on = same_issue(issues)
     read = issues.count()
-    distinct = issues.select(*on).distinct().count()
+    keys = issues.select(*[F.col(c).alias("issue_key") if c == "key" else F.col(c) for c in on]).distinct()
+    distinct = keys.count()
     fresh = issues
-    if sn.MAIN in held.schemas:
+    if KEYS in held.schemas:
         # before encoding: issues indexed already are never embedded again
-        fresh = pending(issues, sn.read(spark, root, snapshot=held))
+        fresh = pending(issues, known_keys(spark, root, held, keys)[0])
     encoded = materialize(encode_issues(fresh.dropDuplicates(on), encoder), "encoded")
     failed = F.col("embedding").isNull()
     lost = encoded.where(failed).drop("embedding")
-    tables, indexed = _placed(spark, root, held, encoded.where(~failed))
     rejected = lost.count()
-    counts = {"read": read, "repeated": read - distinct, "known": distinct - indexed - rejected, "indexed": indexed, "rejected": rejected}
-    return sn.commit(spark, root, {**tables, REJECTED: lost}, batch, counts, held)
+    counts = {"read": read, "repeated": read - distinct, "rejected": rejected}
+    return _commit(spark, root, held, encoded.where(~failed), {REJECTED: lost} if rejected else {}, batch,
+                   lambda indexed: counts | {"indexed": indexed, "known": distinct - indexed - rejected})
 
 
-def _placed(spark: SparkSession, root: str, held: sn.Snapshot, good: DataFrame) -> tuple[dict[str, DataFrame], int]:
-    """Rows with a vector as the tables of a commit, laid out by cell, and their number.
+def _commit(spark: SparkSession, root: str, held: sn.Snapshot, good: DataFrame, tables: dict[str, DataFrame], batch: str | None, counts) -> sn.Snapshot:
+    """Commit rows with a vector, laid out by cell, with their cells and keys, and other tables.
 
-    The first commit that has rows chooses the centres; later rows join its cells."""
-    tables = {}
+    The first commit that has rows chooses the centres; later rows join its cells. Without
+    rows only the batch is noted."""
+    n = good.count()
+    if not n and held.version:
+        return sn.commit(spark, root, tables, batch, counts(0), held)
     if held.rows(CENTRES):
         centres = sn.read(spark, root, CENTRES, held)
     else:
-        tables[CENTRES] = centres = cl.choose_centres(good.withColumnRenamed("issue_key", "key"), good.count())
-    placed = materialize(cl.assign(good, centres).repartitionByRange("cell", F.xxhash64("issue_key"))
-                         .sortWithinPartitions("cell"), "placed")
-    return {**tables, sn.MAIN: placed.drop("distance"), CELLS: cl.cell_table(placed)}, placed.count()
+        tables = {**tables, CENTRES: cl.choose_centres(good.withColumnRenamed("issue_key", "key"), n)}
+        centres = tables[CENTRES]
+    placed = (cl.assign(good, centres).repartitionByRange("cell", F.xxhash64("issue_key")).sortWithinPartitions("cell"))
+    part = sn.write_part(placed, root)
+    rows = sn.read_part(spark, root, part, placed.schema)
+    keys = rows.select(*_identity(rows))
+    new, gone = _key_parts(spark, root, held, keys)
+    return sn.commit(spark, root, {**tables, CELLS: cl.cell_table(rows)}, batch, counts(part.rows), held,
+                     written={sn.MAIN: (placed.schema, [part], []), KEYS: (keys.schema, new, gone)})
 
 
 def retry_rejected(spark: SparkSession, root: str, encoder=None) -> sn.Snapshot:
     """Encode the rejects again and commit those that succeed now."""
     held = sn.latest(spark, root)
     again = materialize(embed(rejected(spark, root, held), "text", encoder=encoder), "retried")
-    tables, indexed = _placed(spark, root, held, again.where(F.col("embedding").isNotNull()))
     read = again.count()
-    return sn.commit(spark, root, tables, None, {"read": read, "repeated": 0, "known": 0, "indexed": indexed, "rejected": read - indexed}, held)
+    return _commit(spark, root, held, again.where(F.col("embedding").isNotNull()), {}, None,
+                   lambda indexed: {"read": read, "repeated": 0, "known": 0, "indexed": indexed, "rejected": read - indexed})
 
 
 def rejected(spark: SparkSession, root: str, snapshot: sn.Snapshot | None = None) -> DataFrame:
     """Issues whose text the encoder failed on and that no later batch has indexed, once each."""
     held = snapshot or sn.latest(spark, root)
+    if not held.rows(REJECTED):
+        return sn.read(spark, root, snapshot=held).limit(0).select("repo", "issue_key", "text", "issuetype")
     lost = sn.read(spark, root, REJECTED, held)
-    lost = lost.dropDuplicates([c for c in ("repo", "issue_key") if c in lost.columns])
-    return pending(lost, sn.read(spark, root, snapshot=held), key="issue_key")
+    lost = lost.dropDuplicates(_identity(lost))
+    return pending(lost, sn.read(spark, root, KEYS, held), key="issue_key")
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
@@ -101,6 +159,8 @@ def open_index(spark: SparkSession, root: str, version: int | None = None) -> tu
         raise ValueError(f"{root} holds no index; build it first")
     sn.verify(spark, root, held)
     indexed = sum(c.get("indexed", 0) for c in held.batches.values())
+    if held.rows(KEYS) != held.rows():
+        raise sn.Torn(f"{root}: {held.rows()} rows, {held.rows(KEYS)} keys; build it again")
     cells = cl.load_cells(sn.read(spark, root, CENTRES, held), sn.read(spark, root, CELLS, held))
     if indexed != held.rows() or int(cells.rows.sum()) != held.rows():
         raise sn.Torn(f"{root}: {held.rows()} rows, {indexed} in the ledger, {int(cells.rows.sum())} in cells; build it again")

@@ -105,6 +105,11 @@ def read(spark: SparkSession, root: str, table: str = MAIN, snapshot: Snapshot |
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
+def read_part(spark: SparkSession, root: str, part: Part, schema: T.StructType, table: str = MAIN) -> DataFrame:
+    """The rows of one folder, committed or not."""
+    return spark.read.schema(schema).parquet(part_path(root, table, part))
+
+
 def verify(spark: SparkSession, root: str, snapshot: Snapshot | None = None) -> Snapshot:
     """Raise ``Torn`` unless every folder has the files, bytes and rows of the manifest.
 
@@ -131,26 +136,28 @@ def write_part(df: DataFrame, root: str, table: str = MAIN) -> Part:
     return Part(folder, found.files, found.bytes, spark.read.schema(df.schema).parquet(at).count())
 
 
-def write_split(df: DataFrame, root: str, by: list[str]) -> dict[tuple[str, ...], Part]:
+def write_split(df: DataFrame, root: str, by: list[str], table: str | None = None) -> dict[tuple[str, ...], Part]:
     """The rows in one pass as a new folder, split by the values of ``by`` (text without / or =); a part for each value.
 
-    The split columns are not in the files. Parts are of no snapshot yet.
+    The split columns are not in the files. The parts may go to different tables, or all to ``table``,
+    below whose path the folder then lies. They are of no snapshot yet.
     """
-    spark, commit = df.sparkSession, f"/commit={uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(f"{root.rstrip('/')}{commit}")
+    spark, commit = df.sparkSession, f"commit={uuid.uuid4().hex}"
+    base, lead = (table_path(root, table), "") if table else (root.rstrip("/"), "/")
+    df.write.partitionBy(*by).parquet(f"{base}/{commit}")
     schema = T.StructType([f for f in df.schema if f.name not in by])
     folders = [(commit, ())]
     for column in by:
         folders = [(f"{at}/{name}", (*values, name.split("=", 1)[1])) for at, values in folders
-                   for name in files.names(spark, root.rstrip("/") + at) if name.startswith(f"{column}=")]
+                   for name in files.names(spark, f"{base}/{at}") if name.startswith(f"{column}=")]
     # rows of all folders in one job, from the footers
     place = F.regexp_extract("_metadata.file_path", f"({commit}/.*)/[^/]*$", 1)
-    written = spark.read.schema(schema).parquet(*[root.rstrip("/") + at for at, _ in folders]) if folders else None
+    written = spark.read.schema(schema).parquet(*[f"{base}/{at}" for at, _ in folders]) if folders else None
     rows = {r.at: r.n for r in written.groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()} if folders else {}
     out = {}
     for at, values in folders:
-        found = files.size(spark, root.rstrip("/") + at)
-        out[values] = Part(at, found.files, found.bytes, rows[at])
+        found = files.size(spark, f"{base}/{at}")
+        out[values] = Part(lead + at, found.files, found.bytes, rows[at])
     return out
 
 
@@ -168,15 +175,20 @@ def _plain(schema: T.StructType) -> str:
 
 
 def commit(spark: SparkSession, root: str, rows: Mapping[str, DataFrame], batch: str | None = None,
-           counts: Mapping[str, int] | None = None, base: Snapshot | None = None) -> Snapshot:
+           counts: Mapping[str, int] | None = None, base: Snapshot | None = None,
+           written: Mapping[str, tuple[T.StructType, list[Part], list[Part]]] | None = None) -> Snapshot:
     """Append rows to tables, all in one step, and note the batch with its counts.
 
-    A table gets the columns of its first commit. ``base`` is the snapshot that the rows
+    A table gets the columns of its first commit. ``written``: tables whose new parts are written
+    already, as (schema, new parts, parts that they replace). ``base`` is the snapshot that the rows
     were worked out from: if another was published since, ``Conflict`` is raised.
     """
     held = base if base is not None else latest(spark, root)
     parts = {t: list(ps) for t, ps in held.parts.items()}
     schemas = dict(held.schemas)
+    for table, (schema, new, gone) in (written or {}).items():
+        schemas.setdefault(table, _plain(schema))
+        parts[table] = [p for p in parts.get(table, []) if p not in gone] + [p for p in new if p.rows]
     for table, df in rows.items():
         schemas.setdefault(table, _plain(df.schema))
         df = df.select(*[f"`{f.name}`" for f in T.StructType.fromJson(json.loads(schemas[table]))])

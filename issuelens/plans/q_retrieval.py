@@ -11,7 +11,7 @@ from ..operators import cells as cl
 from ..operators import index as ix
 from ..operators import neighbours as nb
 from ..operators import search
-from ..session import shared_dir
+from ..session import scratch_root
 from ..sources import files, tables
 from ..sources import fixtures as fx
 from ..sources.issues import flatten_issues, index_text, query_text
@@ -28,12 +28,12 @@ ENCODER = DigestEncoder(ov.DIM)
 
 
 def stored_index(spark, sf) -> str:
-    """Path of the index of all documents, built where the store's ledger does not have this table yet.
+    """Path of this application's index of all documents, built where the store's ledger does not have the table yet.
 
     The store's name and the batch's name follow the table's files: another or a changed table is another batch.
     """
     mark = files.fingerprint(spark, f"{sf}/documents.parquet")
-    root = f"{shared_dir(spark).rstrip('/')}/issuelens/index-{mark}"
+    root = f"{scratch_root(spark)}/index-{mark}"
     search.add(spark, root, fx.issues_doc(spark, sf), ENCODER, batch=mark)
     return root
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -67,9 +68,33 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one: intermediate tables, removed when the driver's process ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/issuelens/{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        atexit.register(_remove_at_exit, spark, root)
+    return root
+
+
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/issuelens/{name}-{uuid.uuid4().hex}"
+    """A new, unique path for an intermediate table."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables. Results that still read them must have been written before."""
+    root = scratch_root(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:   # else the session was stopped, and with it the way to the file system
+        remove_scratch(spark)
 
 
 def cut_lineage(df):

@@ -90,3 +90,11 @@ def test_a_cluster_needs_a_shared_folder():
                            sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(bare)
+
+
+def test_intermediate_tables_lie_in_the_application_s_folder(spark):
+    path = session.scratch_path(spark, "x")
+    assert path.startswith(session.scratch_root(spark)) and spark.sparkContext.applicationId in path
+    session.materialize(spark.range(3), "gone")
+    from issuelens.sources import files
+    assert any(n.startswith("gone-") for n in files.names(spark, session.scratch_root(spark)))

@@ -114,7 +114,7 @@ def test_a_crash_between_the_writes_leaves_nothing(spark, tmp_dir, monkeypatch):
 
     def dies(df, *a):
         calls.append(a)
-        if len(calls) == 2:
+        if len(calls) == 2:   # index rows are written, the others are not
             raise RuntimeError("lost")
         return real(df, *a)
 
@@ -129,6 +129,23 @@ def test_a_crash_between_the_writes_leaves_nothing(spark, tmp_dir, monkeypatch):
     assert sn.latest(spark, root).batches["s:1"]["known"] == 2
 
 
+def test_a_batch_opens_only_the_buckets_of_its_keys(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "i")
+    opened = []
+    for n in range(12):
+        search.add(spark, root, numbered(spark, range(40 * n, 40 * n + 40)), HashingEncoder(8), f"b{n}")
+        held = sn.latest(spark, root)
+        one = spark.createDataFrame([("A", "T-7")], "repo string, issue_key string")
+        found, parts = search.known_keys(spark, root, held, one)
+        assert found.where("issue_key = 'T-7'").count() == 1
+        opened.append(len(parts))
+    assert held.rows(search.KEYS) == held.rows() == 480
+    per_bucket = [sum(search._bucket(p) == str(b) for p in held.parts[search.KEYS]) for b in range(search.KEY_BUCKETS)]
+    assert max(per_bucket) <= 6 and max(opened) <= 6   # about log n parts a bucket, not one for each batch
+    again = search.add(spark, root, numbered(spark, range(480)), HashingEncoder(8), "again")
+    assert again.rows() == 480 and again.batches["again"]["known"] == 480
+
+
 def test_stream_batches_are_named_by_their_checkpoint(spark, tmp_dir):
     src, root, ck = (os.path.join(tmp_dir, x) for x in ("src", "i", "ck"))
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
