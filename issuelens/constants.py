@@ -140,7 +140,6 @@ FIELD_URL = "{base}/rest/api/2/field"
 # Batch sizes of the reference jobs.
 SEARCH_PAGE_SIZE = 250
 COMMENT_PAGE_SIZE = 50
-INDEX_BATCH_SIZE = 100000
 ENCODE_BATCH_SIZE = 256
 TESTSET_SKIP = 900000
 TESTSET_LIMIT = 10

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .text import filled
 
 
 def class_line(name, description) -> Column:
@@ -22,11 +23,9 @@ def class_list_text(classes=K.ISSUE_TYPES) -> str:
 
 def neighbour_block(rank, key, similarity, text, issuetype) -> Column:
     """SCL-15: header with rank, key and similarity; text; type line only when non-empty."""
-    head = F.format_string("--- Similar Ticket %d (Key: %s, Similarity: %.4f) ---\n",
-                           rank, key, similarity)
-    body = F.concat(F.lit("Text: "), F.coalesce(text, F.lit("")), F.lit("\n"))
-    typ = F.when(F.coalesce(issuetype, F.lit("")) != "",
-                 F.concat(F.lit("Original Issue Type: "), issuetype, F.lit("\n"))).otherwise(F.lit(""))
+    head = filled(K.PROMPT_SIMILAR_HEADER, rank=rank.cast("string"), key=key, similarity=F.format_string("%.4f", similarity))
+    body = filled(K.PROMPT_SIMILAR_TEXT, text=F.coalesce(text, F.lit("")))
+    typ = F.when(F.coalesce(issuetype, F.lit("")) != "", filled(K.PROMPT_SIMILAR_TYPE, issuetype=issuetype)).otherwise(F.lit(""))
     return F.concat(head, body, typ)
 
 
@@ -53,7 +52,7 @@ def prompt_column(summary, blocks, classes=K.ISSUE_TYPES) -> Column:
                      ).otherwise(F.lit(K.PROMPT_NO_SIMILAR))
     return F.concat(
         F.lit(K.PROMPT_HEAD),
-        F.lit("Summary: '"), F.coalesce(summary, F.lit("")), F.lit("'\n\n"),
+        filled(K.PROMPT_SUMMARY, summary=F.coalesce(summary, F.lit(""))),
         F.lit(K.PROMPT_CONTEXT),
         context,
         F.lit(K.PROMPT_CLASSES_HEAD + class_list_text(classes)),

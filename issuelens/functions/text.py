@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +85,14 @@ def completion_after_prompt(generated, prompt) -> Column:
     """SCL-19: the text that follows the prompt in a generated string, trimmed."""
     rest = F.substr(_c(generated), F.length(_c(prompt)) + F.lit(1))
     return F.regexp_replace(rest, STRIP, "")
+
+
+def filled(template: str, **parts) -> Column:
+    """A format string with named places as a column expression: each place takes its column (null gives null)."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        if text:
+            pieces.append(F.lit(text))
+        if name is not None:
+            pieces.append(parts[name] if isinstance(parts[name], Column) else F.lit(str(parts[name])))
+    return F.concat(*pieces)

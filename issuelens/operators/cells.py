@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import TOP_K
 from ..session import materialize
 from . import neighbours as nb
 
@@ -196,7 +197,7 @@ class Visits(NamedTuple):
     all: int
 
 
-def search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int = 3, exclude_self: bool = False, metadata=("text", "issuetype"),
+def search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int = TOP_K, exclude_self: bool = False, metadata=("text", "issuetype"),
            max_broadcast_queries: int = nb.MAX_BROADCAST_QUERIES, block_rows: int = nb.BLOCK_ROWS) -> tuple[DataFrame, Visits]:
     """Top k rows for each query, and what was looked into.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sinks
+from ..constants import TOP_K
 from ..functions import prompt as pr
 from ..functions.text import cell, percent, same_label
 from ..session import materialize
@@ -27,7 +28,7 @@ class Evaluation(NamedTuple):
     prompts: DataFrame
 
 
-def run(spark: SparkSession, testset: DataFrame, index: str, store: str, generator, encoder=None, k: int = 3,
+def run(spark: SparkSession, testset: DataFrame, index: str, store: str, generator, encoder=None, k: int = TOP_K,
         model: str | None = None) -> Evaluation:
     """JOB-04: ``testset`` (query_id, summary, description, expected) against the stored index at ``index``.
 

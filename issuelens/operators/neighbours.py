@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import TOP_K
 from ..plans.inspect import spread
 
 PAIR_SCHEMA = "query_id string, key string, similarity double"
@@ -183,7 +184,7 @@ def rank_top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: bool = False,
+def similar(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_self: bool = False,
             plan: str = "auto", metadata=("text", "issuetype"),
             max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
             block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BORN_WINDOW
+from ..constants import BORN_SKIP, BORN_WINDOW, EPIC_FIELDS, INVALID_SOURCES
 
 PROFILE_COLUMNS = ["repo", "born", "issues", "dit", "uit", "links", "dlt", "ult", "changes",
                    "changes_per_issue", "up", "comments", "comments_per_issue"]
@@ -20,6 +20,12 @@ SUMMARY_COLUMNS = ["issues", "dit", "uit", "links", "dlt", "ult", "changes",
                    "changes_per_issue", "up", "comments", "comments_per_issue"]
 
 
+def known_repos(spark) -> DataFrame:
+    """(repo, epic_field, born_skip) of the trackers that have fixed rules: the rows of a profile of real data."""
+    return spark.createDataFrame([(r, field, BORN_SKIP.get(r, 0)) for r, field in EPIC_FIELDS.items() if r not in INVALID_SOURCES],
+                                 "repo string, epic_field string, born_skip int")
+
+
 def size0(arr) -> Column:
     """Array size with 0 for a missing or null array (independent of sizeOfNull)."""
     arr = F.col(arr) if isinstance(arr, str) else arr

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import TOP_K
 from ..functions.embedding import embed
 from ..session import materialize
 from ..sources.issues import query_text, same_issue
@@ -167,7 +168,7 @@ def open_index(spark: SparkSession, root: str, version: int | None = None) -> tu
     return held, sn.read(spark, root, snapshot=held), cells
 
 
-def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 3, encoder=None, exclude_self: bool = False,
+def search(spark: SparkSession, root: str, queries: DataFrame, k: int = TOP_K, encoder=None, exclude_self: bool = False,
            text: str = "query", version: int | None = None) -> DataFrame:
     """JOB-02: (query_id, rank, key, similarity, text, issuetype) for texts (query_id, ``text``) against the stored index."""
     _, index, cells = open_index(spark, root, version)
@@ -176,7 +177,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = 3, encod
     return found
 
 
-def search_one(spark: SparkSession, root: str, text: str, k: int = 3, encoder=None) -> DataFrame:
+def search_one(spark: SparkSession, root: str, text: str, k: int = TOP_K, encoder=None) -> DataFrame:
     """The neighbours of one text, best first: issue_key, similarity, text, issuetype."""
     query = spark.createDataFrame([("0", text)], "query_id string, query string")
     return nb.neighbour_rows(search(spark, root, query, k, encoder)).orderBy("rank").drop("query_id", "rank")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import sinks
-from ..functions.vectors import l2_norm
 from ..operators import comments as cm
 from ..operators import evaluate as ev
 from ..operators import index as ix
@@ -24,8 +23,9 @@ from ..sources import testset as ts
 from ..sources.tables import table
 from . import oracle_views as ov
 from .q_evaluation import NN, evaluation
-from .q_retrieval import ENCODER
+from .q_retrieval import _VECTOR_SQL, ENCODER, vector_columns
 from .q_text import BLOCKS_CTE, prompt_sql
+from .q_text import NN as NN_BENCHMARK
 from .registry import register
 
 W = ov.with_
@@ -288,15 +288,11 @@ def _two_step_index(spark, sf) -> str:
     return path
 
 
-_ALL_INDEX_SQL = W(ov.ISSUES_TEXT) + """
-SELECT key AS issue_key, issuetype, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text"""
-
-
-@register("snk_05", _ALL_INDEX_SQL)
+@register("snk_05", W(NN_BENCHMARK) + f"""
+SELECT key AS issue_key, issuetype, {_VECTOR_SQL} FROM nn_vectors JOIN index_rows ON key = id AND side = 'c'""")
 def snk_05(spark, sf):
     _, idx, _ = search.open_index(spark, _two_step_index(spark, sf))
-    return idx.select("issue_key", "issuetype", F.size("embedding").alias("dim"),
-                      F.round(l2_norm("embedding"), 4).alias("norm"))
+    return idx.select("issue_key", "issuetype", *vector_columns())
 
 
 @register("set_04", W(ov.ISSUES_TEXT) + """

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import TASK_DESCRIPTION
-from ..functions.embedding import DigestEncoder, HashingEncoder
+from ..functions.embedding import DigestEncoder, embed
 from ..functions.vectors import inner_product, l2_norm, normalize
 from ..operators import cells as cl
 from ..operators import index as ix
 from ..operators import neighbours as nb
 from ..operators import search
-from ..session import scratch_root
+from ..session import scratch_path, scratch_root
 from ..sources import files, tables
 from ..sources import fixtures as fx
-from ..sources.issues import flatten_issues, index_text, query_text
+from ..sources.issues import TEXT_PATHS, flatten_issues, index_text, query_text, read_issues
 from . import oracle_views as ov
 from .registry import register
 
@@ -176,7 +176,10 @@ def prj_01(spark, sf):
 @register("src_01", ov.with_(ov.ISSUES_TEXT) + """
 SELECT repo, key, coalesce(summary, '') AS summary, coalesce(issuetype, '') AS issuetype FROM issues_text""")
 def src_01(spark, sf):
-    return flatten_issues(fx.issues_doc(spark, sf), keep=("repo",)).select(
+    """Issue documents as they are stored, scanned with the narrow schema of the text columns."""
+    path = scratch_path(spark, "documents")
+    fx.issues_doc(spark, sf).withColumn("_id", F.col("_id").cast("string")).write.parquet(path)
+    return flatten_issues(read_issues(spark, path, TEXT_PATHS), keep=("repo",)).select(
         "repo", "key", "summary", "issuetype")
 
 
@@ -186,22 +189,27 @@ def prj_04(spark, sf):
     return ix.metadata(fx.vectors(spark, sf).withColumnRenamed("key", "issue_key"))
 
 
-_INDEX_SQL = ov.with_(ov.ISSUES_TEXT) + """
-SELECT key AS issue_key, coalesce(issuetype, '') AS issuetype, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text"""
+# the vector itself: its number of dimensions, its length, and its product with 1, 2, 3, ...
+_VECTOR_SQL = (f"CAST(len(v) AS INTEGER) AS dim, round(sqrt(list_inner_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 4) AS norm, "
+               f"round(list_inner_product(CAST(v AS DOUBLE[]), CAST(range(1, {ov.DIM + 1}) AS DOUBLE[])), 3) AS weighted")
+_VECTORS = ov.with_(ov.text_neighbours(ov.BENCHMARK))
 
 
-@register("job_01", _INDEX_SQL)
+def vector_columns(embedding="embedding"):
+    ramp = F.transform(F.sequence(F.lit(1), F.lit(ov.DIM)), lambda i: i.cast("double"))
+    return [F.size(embedding).alias("dim"), F.round(l2_norm(embedding), 4).alias("norm"),
+            F.round(inner_product(F.col(embedding), ramp), 3).alias("weighted")]
+
+
+@register("job_01", _VECTORS + f"""
+SELECT key AS issue_key, issuetype, text, {_VECTOR_SQL} FROM nn_vectors JOIN index_rows ON key = id AND side = 'c'""")
 def job_01(spark, sf):
-    idx = ix.build_index(fx.issues_doc(spark, sf), HashingEncoder(64))
-    return idx.select("issue_key", "issuetype", F.size("embedding").alias("dim"),
-                      F.round(l2_norm("embedding"), 4).alias("norm"))
+    idx = ix.build_index(fx.issues_doc(spark, sf), ENCODER)
+    return idx.select("issue_key", "issuetype", "text", *vector_columns())
 
 
-@register("udf_01", ov.with_(ov.ISSUES_TEXT) + """
-SELECT key, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm FROM issues_text""")
+@register("udf_01", _VECTORS + f"""
+SELECT id AS key, {_VECTOR_SQL} FROM nn_vectors WHERE side = 'c'""")
 def udf_01(spark, sf):
-    from ..functions.embedding import embed
     t = index_text(flatten_issues(fx.issues_doc(spark, sf)))
-    e = embed(t, "text", encoder=HashingEncoder(64))
-    return e.select("key", F.size("embedding").alias("dim"),
-                    F.round(l2_norm("embedding"), 4).alias("norm"))
+    return embed(t, "text", encoder=ENCODER).select("key", *vector_columns())

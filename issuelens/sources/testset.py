@@ -19,6 +19,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import TESTSET_LIMIT, TESTSET_SKIP
 from ..session import cut_lineage
 
 
@@ -69,7 +70,7 @@ def usable(rows: DataFrame) -> DataFrame:
                       & (F.coalesce(F.col("expected_issuetype"), F.lit("")) != ""))
 
 
-def make_testset(issues: DataFrame, skip: int, limit: int, order: str = "_id",
+def make_testset(issues: DataFrame, skip: int = TESTSET_SKIP, limit: int = TESTSET_LIMIT, order: str = "_id",
                  strategy: str = "ranked") -> DataFrame:
     """JOB-06: slice by landing order, then keep usable rows (at most ``limit``)."""
     s = slice_by_order(issues, order, skip, limit, strategy)

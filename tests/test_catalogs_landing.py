@@ -107,3 +107,18 @@ def test_definition_file_on_disk(spark, tmp_path):
     f.write_text(json.dumps(defs, indent=2))
     rows = cg.read_sources(cg.read_json_text(spark, str(f))).collect()
     assert sorted((r["source"], r["rough_issue_count"]) for r in rows) == [("Apache", "1,015,000"), ("Spring", "69,000")]
+
+
+def test_request_texts_and_fixed_rules(spark):
+    from issuelens import constants as K
+    from issuelens.operators import profile as pf
+
+    s = spark.createDataFrame([("X", "https://t.invalid"), (K.INVALID_SOURCES[0], "https://u.invalid")], "source string, jira_url string")
+    valid = ld.exclude_invalid(s, ld.invalid_sources(spark))
+    assert {r.catalog: r.url for r in ld.catalog_urls(valid).collect()} == {
+        "issuetype": K.ISSUETYPE_URL.format(base="https://t.invalid"), "linktype": K.LINKTYPE_URL.format(base="https://t.invalid"),
+        "field": K.FIELD_URL.format(base="https://t.invalid")}
+    url = s.where("source = 'X'").select(ld.comment_url(F.col("jira_url"), F.lit("K-1"), F.lit(50), 7).alias("u")).first().u
+    assert url == K.COMMENT_URL.format(base="https://t.invalid", key="K-1", start=50, size=7)
+    rules = {r.repo: (r.epic_field, r.born_skip) for r in pf.known_repos(spark).collect()}
+    assert set(rules) == set(K.EPIC_FIELDS) - set(K.INVALID_SOURCES) and rules["Apache"] == (K.EPIC_FIELDS["Apache"], K.BORN_SKIP["Apache"])
