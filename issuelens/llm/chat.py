@@ -65,48 +65,61 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for every message on the path of every leaf; up: replies from it to the leaf.
+def ancestors(messages: DataFrame) -> list[DataFrame]:
+    """(tree, node, above) for each power of two: ``above`` is that many replies before ``node``.
 
-    ``messages`` has tree (string), node and parent (long, null for a root).
+    ``messages`` has tree (string), node and parent (long, null for a root). A tree of n
+    messages makes at most n rows for each of its log n levels.
     """
     nodes = land(messages.select("tree", "node", "parent"), "nodes")
     known = nodes.select("tree", F.col("node").alias("parent"))
     jump = land(nodes.filter("parent is not null").join(known, ["tree", "parent"], "left_semi")
                 .select("tree", "node", F.col("parent").alias("above")).distinct(), "jump")
-    parents = jump.select("tree", F.col("above").alias("node"))
-    paths = land(nodes.select("tree", "node").distinct().join(parents, ["tree", "node"], "left_anti")
-                 .select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    total, step = nodes.count(), 1
+    levels, total = [], nodes.count()
     while not jump.isEmpty():
-        if step > total:
+        if 1 << len(levels) > total:
             raise ValueError("replies form a loop")
-        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        paths = land(paths.unionByName(more), "paths")
+        levels.append(jump)
         further = jump.alias("a").join(jump.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.above") == F.col("b.node")))
-        jump, step = land(further.select("a.tree", "a.node", "b.above"), "jump"), 2 * step
-    reached = paths.select("tree", "node").distinct().count()
-    if reached < nodes.select("tree", "node").distinct().count():
-        raise ValueError("replies form a loop")  # a loop without a leaf
-    return paths
+        jump = land(further.select("a.tree", "a.node", "b.above"), "jump")
+    return levels
 
 
-def best_paths(paths: DataFrame, messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """(tree, leaf, rank, score) of each tree's best ``branches`` paths (None: all), ranked by the sum of scores."""
-    sums = land(paths.join(messages.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf")
-                .agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")), "scores")
-    ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+def best_paths(messages: DataFrame, levels: list[DataFrame], branches: int | None = 1) -> DataFrame:
+    """(tree, leaf, rank, score) of each tree's best ``branches`` paths (None: all), ranked by the sum of scores.
+
+    Sums are doubled along with the levels, one row for each message; no path is written out.
+    """
+    sums = land(messages.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")), "scores")
+    for jump in levels:
+        above = jump.join(sums.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"])
+        sums = land(sums.join(above.select("tree", "node", "more"), ["tree", "node"], "left")
+                    .select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "scores")
+    leaves = sums.withColumnRenamed("node", "leaf")
+    if levels:
+        leaves = leaves.join(levels[0].select("tree", F.col("above").alias("leaf")), ["tree", "leaf"], "left_anti")
+    ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     return ranked if branches is None else ranked.filter(F.col("rank") <= branches)
 
 
+def reply_paths(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up) for every message on the path of these leaves (tree, leaf); up: replies from it to the leaf."""
+    paths = land(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "paths")
+    for k, jump in enumerate(levels):
+        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = land(paths.unionByName(more), "paths")
+    return paths
+
+
 def format_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """tree, id, leaf, rank, formatted and mask (array of start, end) of every chosen path.
 
     ``messages``: tree, id (of the tree, to carry along), node, parent, role, text, score.
     """
-    paths = reply_paths(messages)
+    levels = ancestors(messages)
+    chosen = land(best_paths(messages, levels, branches), "chosen")
+    paths = reply_paths(chosen, levels)
     said = messages.select("tree", "id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = best_paths(paths, messages, branches)
     turns = (paths.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"]).join(said, ["tree", "node"])
              .groupBy("tree", "id", "leaf", "rank")
              .agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns")))

@@ -16,7 +16,9 @@ Everything is a DataFrame or SQL expression; no Python runs on the executors.
    hypergeometric tail). A single document never decides; two do in a corpus large enough.
 
 PMI is at most ln(N / df(t)), so terms of many documents drop out exactly, before they are
-paired: pairs of entity and term are those whose df(t) alone lets the ratio suffice.
+paired: pairs of entity and term are those whose df(t) alone lets the ratio suffice. And an entity
+of df(c) documents can show at most df(c) ln(N / df(c)) against chance: where that is not enough, as
+for most entities of one document, it is not paired at all.
 Counts are partial sums before each shuffle; texts are shuffled only for documents with
 a base span, and by a hash of the text, so that equal texts share their result.
 
@@ -165,24 +167,29 @@ def disclosing_terms(docs: DataFrame, text: str = "text", chance: float = 0.01,
                 .groupBy("h1", "h2", "c").agg(F.count("*").alias("copies")), "mentions")
     df_c = land(of_c.groupBy("c").agg(F.sum("copies").alias("df_c")), "entities")
     mentions = of_c.select("h1", "h2", "c")
-    most = df_c.agg(F.max("df_c")).first()[0]
-    if most is None:
-        none = df_c.select("c", F.col("c").alias("term"), F.lit(0.0).alias("ratio"), F.lit(False).alias("removed"))
-        return mentions, none.limit(0)  # nothing to count for
     df_t = land(docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")), "df_t")
-    total, n_terms = F.lit(float(docs.count())), df_t.count()
+    total, least = F.lit(float(docs.count())), math.log(max(df_t.count(), 1) / chance)
     worth = lambda n: F.log(total / n)
+    # No term can speak more clearly than one that stands in the documents of c and nowhere else: where even that
+    # could be chance, c is not paired with any term. This is exact, and leaves out most entities of few documents.
+    decided = land(df_c.filter(F.col("df_c") * worth(F.col("df_c")) > least - 1e-9), "decided")
+    most = decided.agg(F.max("df_c")).first()[0]
+    if most is None:
+        none = df_c.select("c", F.col("c").alias("term"), F.lit(0.0).alias("ratio"), F.lit(False).alias("removed"))
+        return mentions, none.limit(0)
     # The ratio is at most worth(df_t) / worth(df_c): a bound for all entities first, then for each.
     enough = lambda n: worth(F.col("df_t")) >= generalise_at * worth(n) - 1e-9
     rare = df_t.filter(enough(F.lit(float(most))))
-    held = (hit.select("h1", "h2", F.explode(_terms(F.col("t"))).alias("term")).join(rare, "term")
+    of_decided = land(mentions.join(decided, "c"), "decided_mentions")
+    spoken = hit.select("h1", "h2", "t").join(of_decided.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    held = (spoken.select("h1", "h2", F.explode(_terms(F.col("t"))).alias("term")).join(rare, "term")
             .groupBy("h1", "h2", "term", "df_t").agg(F.count("*").alias("n")))
-    pairs = held.join(mentions.join(df_c, "c"), ["h1", "h2"]).filter(enough(F.col("df_c")))
+    pairs = held.join(of_decided, ["h1", "h2"]).filter(enough(F.col("df_c")))
     df_ct = pairs.groupBy("c", "term", "df_c", "df_t").agg(F.sum("n").alias("df_ct"))
     tells = F.log(total * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
     ratio = F.when(F.col("df_c") < total, tells / worth(F.col("df_c"))).otherwise(0.0)
     surprise = _against_chance(F.col("df_ct"), F.col("df_c"), F.col("df_t"), total)
-    terms = (df_ct.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise_at) & (surprise > math.log(max(n_terms, 1) / chance)))
+    terms = (df_ct.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise_at) & (surprise > least))
              .select("c", "term", "ratio", (F.col("ratio") >= remove_at).alias("removed")))
     return mentions, land(terms, "terms")
 

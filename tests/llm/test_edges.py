@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and repeated rows, clashing names and empty tables, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -90,6 +91,24 @@ def test_rare_entities_are_decided_by_chance(spark):
     assert not any(said[k] for k in range(12, 312))
 
 
+def test_a_text_of_many_addresses_is_not_paired_with_its_terms(spark):
+    """1,000 addresses and 3,000 terms of one document: no pair can be decided, so none is made; a name of twelve documents is still found."""
+    from pyspark.sql import functions as F
+
+    crowd = " ".join(f"p{k}@x{k}.org " + " ".join("".join(random.Random(3 * k + j).choices("abcdefghij", k=9)) for j in range(3)) for k in range(1000))
+    texts = [crowd] + [f"Findme wrote to one@site.org {k}" for k in range(12)] + [f"wrote to nothing {k}" for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mentions, terms = pii.disclosing_terms(docs)
+    found = {(r.c, r.term) for r in terms.collect()}
+    assert mentions.count() == 1000 + 12 and {c for c, _ in found} == {"email:one@site.org"} and ("email:one@site.org", "findme") in found
+    # against all pairs, by counting
+    words = [set(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    total, distinct = len(texts), len(set().union(*words))
+    best = 1 * math.log(total / 1)
+    assert best < math.log(distinct / 0.01)   # what one document can show at most
+    assert pii.find(docs).select(F.size("base")).orderBy(F.desc(F.size("base"))).first()[0] == 1000
+
+
 def test_mixing(docs, none):
     one, two = (Counter(map(tuple, mixing.mix(docs).collect())) for _ in range(2))
     assert one == two and mixing.mix(none).count() == 0
@@ -182,4 +201,39 @@ def test_chat(spark):
     assert chat.format_paths(said, None).count() == 3 and chat.format_paths(said.limit(0)).count() == 0
     loop = spark.createDataFrame([("t", 1, 2), ("t", 2, 1)], "tree string, node long, parent long")
     with pytest.raises(ValueError):
-        chat.reply_paths(loop)
+        chat.format_paths(loop.selectExpr("*", "1L AS id", "'user' AS role", "'x' AS text", "0D AS score"))
+
+
+def plain_paths(messages):
+    """(tree, leaf) -> (score, nodes from the root), by walking up from every leaf."""
+    parent = {(t, n): p for t, n, p, _ in messages}
+    score = {(t, n): s or 0.0 for t, n, _, s in messages}
+    above = {(t, p) for (t, n), p in parent.items()}
+    out = {}
+    for t, n in parent:
+        if (t, n) not in above:
+            path = [n]
+            while (t, parent.get((t, path[-1]))) in parent:
+                path.append(parent[t, path[-1]])
+            out[t, n] = (sum(score[t, x] for x in path), path[::-1])
+    return out
+
+
+def test_paths_are_ranked_before_they_are_written(spark):
+    rng = random.Random(4)
+    tree = [("a", n, rng.randrange(n) if n else None, rng.choice([None, 0.5, 1.0, 0.25])) for n in range(60)]
+    tree += [("b", n, n - 1 if n else 99, 0.5) for n in range(40)]   # a chain whose root's parent is not there
+    chain = [("c", n, n - 1 if n else None, 0.0) for n in range(1000)] + [("c", 1000 + n, n, n % 7 / 4) for n in range(1000)]
+    frame = spark.createDataFrame(tree + chain, "tree string, node long, parent long, score double").repartition(4)
+    levels = chat.ancestors(frame)
+    assert all(level.count() <= 2100 for level in levels)
+    want = plain_paths(tree + chain)
+    ranked = chat.best_paths(frame, levels, None).collect()
+    assert {(r.tree, r.leaf): r.score for r in ranked} == {k: s for k, (s, _) in want.items()}
+    best = chat.best_paths(frame, levels, 2)
+    paths = chat.reply_paths(best, levels)
+    got = defaultdict(list)
+    for r in paths.orderBy(paths.up.desc()).collect():
+        got[r.tree, r.leaf].append(r.node)
+    assert set(got) == {(r.tree, r.leaf) for r in ranked if r.rank <= 2} and all(got[k] == want[k][1] for k in got)
+    assert paths.count() <= 60 * 2 + 40 + 2 * 1001   # a path for each chosen leaf, not for all thousand
