@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.session import scratch_path
+from issuelens.sources.files import remove
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]"
@@ -69,6 +70,13 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unland(df: DataFrame) -> None:
+    """Delete a table of ``land`` that nothing will read again, by the folder of its first file."""
+    files = df.inputFiles()
+    if files:
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
