@@ -88,17 +88,26 @@ def ancestors(messages: DataFrame) -> list[DataFrame]:
 def best_paths(messages: DataFrame, levels: list[DataFrame], branches: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, score) of each tree's best ``branches`` paths (None: all), ranked by the sum of scores.
 
-    Sums are doubled along with the levels, one row for each message; no path is written out.
+    A tree of a single leaf is one path, its score the sum of the tree. In the others sums are
+    doubled along with the levels, one row for each message; no path is written out.
     """
-    sums = land(messages.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score")), "scores")
-    for jump in levels:
-        above = jump.join(sums.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"])
-        sums = land(sums.join(above.select("tree", "node", "more"), ["tree", "node"], "left")
-                    .select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "scores")
-    leaves = sums.withColumnRenamed("node", "leaf")
+    own = messages.groupBy("tree", "node").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
+    leaves = own.select("tree", F.col("node").alias("leaf"))
     if levels:
         leaves = leaves.join(levels[0].select("tree", F.col("above").alias("leaf")), ["tree", "leaf"], "left_anti")
-    ranked = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    leaves = land(leaves, "leaves")
+    branching = land(leaves.groupBy("tree").agg(F.count("*").alias("n")).filter("n > 1").select("tree"), "branching")
+    single = leaves.join(branching, "tree", "left_anti").join(own.groupBy("tree").agg(F.sum("score").alias("score")), "tree")
+    ranked = single.withColumn("rank", F.lit(1))
+    if not branching.isEmpty():
+        sums = land(own.join(branching, "tree", "left_semi"), "scores")
+        for jump in levels:
+            above = (jump.join(branching, "tree", "left_semi")
+                     .join(sums.select("tree", F.col("node").alias("above"), F.col("score").alias("more")), ["tree", "above"]))
+            sums = land(sums.join(above.select("tree", "node", "more"), ["tree", "node"], "left")
+                        .select("tree", "node", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "scores")
+        several = leaves.join(sums.withColumnRenamed("node", "leaf"), ["tree", "leaf"])
+        ranked = ranked.unionByName(several.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))))
     return ranked if branches is None else ranked.filter(F.col("rank") <= branches)
 
 
