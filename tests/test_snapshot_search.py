@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as se
 from issuelens.functions.embedding import DigestEncoder, HashingEncoder
 from issuelens.operators import cells as cl
 from issuelens.operators import completions as cp
@@ -245,6 +246,35 @@ def test_cells_of_no_rows_and_of_few(spark):
     assert cl.search(q.limit(0), index, cells, 3)[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 0])
+def test_repeated_query_ids_are_excluded_from_themselves(spark, most):
+    rows = spark.createDataFrame([(k, [float(x), 1.0], "t", "T") for k, x in (("a", 1), ("a", 2), ("b", 3), ("c", 4))],
+                                 "key string, embedding array<float>, text string, issuetype string")
+    index, cells = cl.cell_index(rows)
+    found, _ = cl.search(rows.select(F.col("key").alias("query_id"), "embedding"), index, cells, 1, True, ("issuetype",), most)
+    assert sorted((r.query_id, r.key, r.similarity) for r in found.collect()) == [("a", "c", 9.0), ("b", "c", 13.0), ("c", "b", 13.0)]
+
+
+def test_small_cells_share_a_bin():
+    cells = cl.Cells(np.zeros((5, 2)), np.zeros(5), np.array([40, 60, 1, 250, 3]))
+    assert cl.bins(cells, 100).tolist() == [0, 0, 1, 2, 3]
+
+
+def test_every_vector_is_a_query_of_join_01(spark, tmp_dir):
+    rng = np.random.default_rng(6)
+    ids = [*range(1, 45), 7, None]   # one id comes again, one is null
+    V = {i: [float(x) for x in rng.normal(size=4).astype(np.float32)] for i in ids}
+    spark.createDataFrame([(i, V[i], 1) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    spark.createDataFrame([(1, "a\nb", "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = {}
+    for r in se.queries()["join_01"](spark, tmp_dir).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.key))
+    for i in range(1, 45):
+        near = sorted((-float(np.dot(V[i], V[j])), str(j)) for j in ids for _ in range(2 if i == 7 else 1) if j is not None and j != i)
+        assert sorted(got.pop(str(i))) == [(n + 1, key) for n, (_, key) in enumerate(near[:3])]
+    assert not got
+
+
 def test_ranges_of_cells():
     assert cl.cell_ranges([5, 1, 2, 3, 9, 8]) == [(1, 3), (5, 5), (8, 9)] and cl.cell_ranges([]) == []
 
